@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import decontaminate, langid, mixing, ngram_join, quality, toxicity
+from lexiloom.llm import decontaminate, hmm, langid, mixing, ngram_join, quality, toxicity
 from lexiloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.query(table(spark, sf_dir, "documents"))
 
 
+def op9_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.query(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
     "op5_toxicity": op5_toxicity,
     "op7_ngram_join": op7_ngram_join,
+    "op9_hmm_lm": op9_hmm_lm,
     "op10_quality": op10_quality,
 }
 
