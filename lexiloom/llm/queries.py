@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import decontaminate, fingerprint, hmm, langid, mixing, ngram_join, quality, toxicity
+from lexiloom.llm import decontaminate, fingerprint, hmm, langid, license_scan, mixing, ngram_join, quality, token_counts, toxicity
 from lexiloom.llm.common import table
 
 
@@ -30,10 +30,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.query(table(spark, sf_dir, "documents"), public_tokenizers.path)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.query(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(table(spark, sf_dir, "documents"))
+
+
 def op9_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.query(table(spark, sf_dir, "documents"))
 
@@ -48,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mix": op4_mix,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_ngram_join": op7_ngram_join,
+    "op8_license_scan": op8_license_scan,
     "op9_hmm_lm": op9_hmm_lm,
     "op10_quality": op10_quality,
 }
