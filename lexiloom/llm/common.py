@@ -89,5 +89,45 @@ def chunks(pdf, chars: int = 4_000_000):
         yield pdf.iloc[start:]
 
 
+def with_columns(docs: DataFrame, types: dict[str, str], make, chars: int = 4_000_000, keep_text: bool = True) -> DataFrame:
+    """docs with columns computed from the column text; every other column passes through as it is.
+
+    make() gives, in each task, a function from a list of texts (null: empty) to one list or array for each of the new
+    columns. Arrow batches are cut so that a call gets about ``chars`` code points, one text at least. Without keep_text the texts don't come back.
+    """
+    kept = docs.drop(*types)
+    schema = kept.drop(*([] if keep_text else ["text"])).select("*", *(F.lit(None).cast(t).alias(c) for c, t in types.items())).schema
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        compute, arrow = make(), to_arrow_schema(schema)
+        fields = [arrow.field(i) for i in range(len(arrow) - len(types), len(arrow))]
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at)
+            batch = batch if keep_text else batch.drop_columns(["text"])
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            start = total = 0
+            ends = []
+            for i, n in enumerate(lengths):
+                if i > start and total + n > chars:
+                    ends.append(i)
+                    start, total = i, 0
+                total += n
+            start = 0
+            for end in [*ends, len(lengths)]:
+                if end > start:
+                    part = batch.slice(start, end - start)
+                    found = compute([t or "" for t in texts.slice(start, end - start).to_pylist()])
+                    new = [pa.array(x, type=f.type) for x, f in zip(found, fields, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *types])
+                start = end
+
+    return kept.mapInArrow(run, schema)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))

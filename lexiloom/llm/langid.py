@@ -6,11 +6,10 @@ import itertools
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks, crc_mod, sigmoid
+from lexiloom.llm.common import crc_mod, sigmoid, with_columns
 
 BITS = 14
 POWER = 0.9
@@ -148,7 +147,7 @@ def training_sample(docs: DataFrame, learn, most: int, longest: int) -> list[tup
     return list(zip(picked["text"], picked["lang"], strict=True))
 
 
-def languages(docs: DataFrame, most: int = 500, longest: int = 50_000, learn=None) -> DataFrame:
+def languages(docs: DataFrame, most: int = 500, longest: int = 50_000, learn=None, keep_text: bool = True) -> DataFrame:
     """Predicts the language of every whole text of docs (doc_id, text, lang; other columns stay).
 
     Adds lang_pred and score (0 to 1). Learns from about ``most`` documents of each language at most, of ``longest``
@@ -158,23 +157,19 @@ def languages(docs: DataFrame, most: int = 500, longest: int = 50_000, learn=Non
     """
     fitted = fit(training_sample(docs, F.lit(True) if learn is None else learn, most, longest))
     model = docs.sparkSession.sparkContext.broadcast(fitted)  # 64 kB for each pair of families, or of languages in one
-    kept = docs.drop("lang_pred", "score")
-    schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
-    def run(frames):
-        for pdf in frames:
-            for part in chunks(pdf, 1_000_000):
-                texts = part["text"].fillna("").tolist()
-                found = [predict(model.value, texts[k : k + 256]) for k in range(0, len(texts), 256)]
-                yield part.assign(lang_pred=[x for f in found for x in f[0]], score=np.concatenate([f[1] for f in found]))
-            if not len(pdf):
-                yield pdf.assign(lang_pred=pd.Series(dtype="object"), score=pd.Series(dtype="float64"))
+    def make():
+        def run(texts):
+            found = [predict(model.value, texts[k : k + 256]) for k in range(0, len(texts), 256)]
+            return [x for f in found for x in f[0]], np.concatenate([f[1] for f in found])
 
-    return kept.mapInPandas(run, schema)
+        return run
+
+    return with_columns(docs, {"lang_pred": "string", "score": "double"}, make, 1_000_000, keep_text)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 4 is 2), lang_pred, score for every document."""
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
-    found = languages(docs.select("doc_id", "text", "lang"), learn=crc_mod("doc_id", 4) != 2)
+    found = languages(docs.select("doc_id", "text", "lang"), learn=crc_mod("doc_id", 4) != 2, keep_text=False)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -6,11 +6,10 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks
+from lexiloom.llm.common import with_columns
 
 WORD = re.compile(r"\w+")
 COVERAGE = 0.75
@@ -136,19 +135,12 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
     nothing. Every row is looked at by itself, so copies and repeated rows are no matter.
     """
     own = {name: w for name, t in (TEMPLATES if templates is None else templates).items() if (w := words_of(t))}
-    kind = "array<struct<license:string,coverage:double,first:long,last:long>>"
-    kept = docs.drop("found")
-    schema = kept.select("*", F.lit(None).cast(kind).alias("found")).schema
-
-    def run(frames):
-        for pdf in frames:
-            for part in chunks(pdf):
-                found = [scan(words_of(t), own, least) for t in part["text"].fillna("")]
-                yield part.assign(found=[[dict(zip(("license", "coverage", "first", "last"), x, strict=True)) for x in f] for f in found])
-            if not len(pdf):
-                yield pdf.assign(found=pd.Series(dtype=object))
-
-    return kept.mapInPandas(run, schema)
+
+    def make():
+        names = ("license", "coverage", "first", "last")
+        return lambda texts: [[[dict(zip(names, x, strict=True)) for x in scan(words_of(t), own, least)] for t in texts]]
+
+    return with_columns(docs, {"found": "array<struct<license:string,coverage:double,first:long,last:long>>"}, make)
 
 
 def query(docs: DataFrame) -> DataFrame:

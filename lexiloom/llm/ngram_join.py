@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks, materialise
+from lexiloom.llm.common import chunks, materialise, with_columns
 from lexiloom.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -61,20 +61,20 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def _sign(frames):
+def _signer():
     memo = _WordHash()
-    for pdf in frames:
-        for part in chunks(pdf, 2_000_000):
-            if len(memo) > _MEMO_MAX:
-                memo.clear()
-            digests, signs = [], []
-            for text in part["text"].fillna(""):
-                words = text.encode("utf-8", "surrogatepass").split()
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                signs.append(signature(shingles(words, memo)).tobytes() if words else None)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "digest": digests, "sign": signs})
-        if not len(pdf):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pd.Series(dtype=object), "sign": pd.Series(dtype=object)})
+
+    def sign(texts):
+        if len(memo) > _MEMO_MAX:
+            memo.clear()
+        digests, signs = [], []
+        for text in texts:
+            words = text.encode("utf-8", "surrogatepass").split()
+            digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+            signs.append(signature(shingles(words, memo)).tobytes() if words else None)
+        return digests, signs
+
+    return sign
 
 
 def _sets(frames):
@@ -197,7 +197,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     words. A text of one to four words is one shingle. Null texts and texts without words link to nothing and are
     classes of their own, like rows with a null id. Repeated rows link to each other.
     """
-    signed = docs.select("doc_id", "text").mapInPandas(_sign, "doc_id long, digest binary, sign binary")
+    signed = with_columns(docs.select("doc_id", "text"), {"digest": "binary", "sign": "binary"}, _signer, 2_000_000, keep_text=False)
     signed = materialise(signed, "signatures")
     usable = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sign").alias("sign"))

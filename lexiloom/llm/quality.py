@@ -6,12 +6,11 @@ import re
 from array import array
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks, crc_mod, labelled_texts, sigmoid
+from lexiloom.llm.common import crc_mod, labelled_texts, sigmoid, with_columns
 
 BITS = 20
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -116,7 +115,7 @@ def fit(rows: list[tuple[int, str, int]], bits: int = BITS, epochs: int = 2) ->
     return model.weights(slice(None)).astype(np.float32), model.bias
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 3000, longest: int = 100_000, learn=None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 3000, longest: int = 100_000, learn=None, keep_text: bool = True) -> DataFrame:
     """Scores every whole text of docs (doc_id, text; other columns stay) for quality.
 
     Adds score (0 to 1) and predicted (1 if score >= 0.5). Trained on at most about ``most`` labelled documents of
@@ -127,26 +126,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 3000, longest
     learn = F.lit(True) if learn is None else learn
     weights, bias = fit(labelled_texts(docs, labels, "quality", learn, most, 10, longest))
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 4 MB, whatever the input
-    kept = docs.drop("score", "predicted")
-    schema = kept.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
-    def score(frames):
+    def make():
         weights, bias = model.value
         hasher = NGramHasher()
-        for pdf in frames:
-            for part in chunks(pdf):
-                hashes, ends = hasher(part["text"].fillna("").tolist())
-                sums = _segments(weights[hashes], ends)
-                sizes = np.diff(np.concatenate(([0], ends)))
-                score = sigmoid(sums / np.sqrt(np.maximum(sizes, 1)) + bias)
-                yield part.assign(score=score, predicted=(score >= 0.5).astype("int32"))
-            if not len(pdf):
-                yield pdf.assign(score=pd.Series(dtype="float64"), predicted=pd.Series(dtype="int32"))
 
-    return kept.mapInPandas(score, schema)
+        def score(texts):
+            hashes, ends = hasher(texts)
+            sizes = np.diff(np.concatenate(([0], ends)))
+            scores = sigmoid(_segments(weights[hashes], ends) / np.sqrt(np.maximum(sizes, 1)) + bias)
+            return scores, (scores >= 0.5).astype(np.int32)
+
+        return score
+
+    return with_columns(docs, {"score": "double", "predicted": "int"}, make, 4_000_000, keep_text)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 3 is 1), score, predicted for every document."""
-    found = quality_scores(docs.select("doc_id", "text"), labels, learn=crc_mod("doc_id", 3) != 1)
+    found = quality_scores(docs.select("doc_id", "text"), labels, learn=crc_mod("doc_id", 3) != 1, keep_text=False)
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")

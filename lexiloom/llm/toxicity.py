@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks, crc_mod, labelled_texts, sigmoid
+from lexiloom.llm.common import crc_mod, labelled_texts, sigmoid, with_columns
 
 WORD = re.compile(r"\w+")
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
@@ -197,7 +196,7 @@ def score_texts(model: dict, words: Words, texts: list[str]) -> np.ndarray:
     return sigmoid(_logits(model, ids, starts, words.embedded()) - model["cut"][_text_langs(words, ids, starts)])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, longest: int = 50_000, learn=None) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, longest: int = 50_000, learn=None, keep_text: bool = True) -> DataFrame:
     """Scores every whole text of docs (doc_id, text; other columns stay) for toxicity.
 
     Adds score (0 to 1) and predicted (1 if score >= 0.5). Trained on at most about ``most`` labelled documents of
@@ -207,25 +206,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, longes
     """
     rows = labelled_texts(docs, labels, "toxic", F.lit(True) if learn is None else learn, most, 5, longest)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))  # bounded by the sample
-    kept = docs.drop("score", "predicted")
-    schema = kept.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
-    def score(frames):
+    def make():
         m = model.value
         words = Words(m["row_of"], m["vectors"])
-        for pdf in frames:
-            for part in chunks(pdf, 1_000_000):
-                if len(words) > _MEMO_MAX:
-                    words = Words(m["row_of"], m["vectors"])
-                score = score_texts(m, words, part["text"].fillna("").tolist())
-                yield part.assign(score=score, predicted=(score >= 0.5).astype("int32"))
-            if not len(pdf):
-                yield pdf.assign(score=pd.Series(dtype="float64"), predicted=pd.Series(dtype="int32"))
 
-    return kept.mapInPandas(score, schema)
+        def score(texts):
+            nonlocal words
+            if len(words) > _MEMO_MAX:
+                words = Words(m["row_of"], m["vectors"])
+            scores = score_texts(m, words, texts)
+            return scores, (scores >= 0.5).astype(np.int32)
+
+        return score
+
+    return with_columns(docs, {"score": "double", "predicted": "int"}, make, 1_000_000, keep_text)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 5 is 0), score, predicted for every document."""
-    found = toxicity_scores(docs.select("doc_id", "text"), labels, learn=crc_mod("doc_id", 5) != 0)
+    found = toxicity_scores(docs.select("doc_id", "text"), labels, learn=crc_mod("doc_id", 5) != 0, keep_text=False)
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
