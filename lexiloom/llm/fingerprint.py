@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks
+from lexiloom.llm.common import chunks, with_columns
 
 WINDOW = 16  # bytes in a feature
 NEAR, OFTEN = 32, 8  # a feature is the rarest of NEAR windows in a row, and so in OFTEN such rows at least
@@ -83,16 +83,9 @@ def to_string(filters: np.ndarray, n_features: int) -> str:
     return f"{n_features}:" + filters.tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1. Each filter of the shorter chain is held against all of the other: bits in common beyond what chance
-    gives, over the most that there could be. The best of each counts, weighed by its bits; equal chains give 1, as do
-    two empty ones, and an empty and a filled one give 0."""
-    if a.shape == b.shape and (a == b).all():
-        return 1.0
-    if not len(a) or not len(b):
-        return 0.0
-    if len(b) < len(a):
-        a, b = b, a
+def _within(a: np.ndarray, b: np.ndarray) -> float:
+    """Each filter of a is held against all of b: bits in common beyond what chance gives, over the most that there
+    could be. The best of each counts, weighed by its bits."""
     of_b = np.bitwise_count(b).sum(axis=1).astype(np.float64)
     total = weight = 0.0
     for row in a:
@@ -105,6 +98,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return total / weight
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """0 to 1: the shorter chain within the longer, or the mean of both ways if they are as long. Equal chains give 1,
+    as do two empty ones, and an empty and a filled one give 0."""
+    if a.shape == b.shape and (a == b).all():
+        return 1.0
+    if not len(a) or not len(b):
+        return 0.0
+    if len(a) == len(b):
+        return _within(a, b) if len(a) == 1 else (_within(a, b) + _within(b, a)) / 2
+    return _within(a, b) if len(a) < len(b) else _within(b, a)
+
+
 def edited(text: str, after: str) -> str:
     """The last half (rounded down) of the code points gives way to as many first ones of the next text, or all."""
     n = len(text) // 2
@@ -115,16 +120,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Adds n_chars, fingerprint (count of features, then the filters in hex) to each row of docs (doc_id, text; other
     columns stay, n_chars and fingerprint are replaced). Null texts count as empty: no features. Whole texts are read,
     in bounded memory but for one text's own arrays. Equal texts have equal fingerprints, whatever the corpus."""
-    kept = docs.drop("n_chars", "fingerprint")
-    schema = kept.select("*", F.lit(0).cast("long").alias("n_chars"), F.lit("").alias("fingerprint")).schema
 
-    def run(frames):
-        for pdf in frames:
-            texts = pdf["text"].fillna("").tolist()
+    def make():
+        def run(texts):
             found = [features(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pdf.assign(n_chars=[len(t) for t in texts], fingerprint=[to_string(chain(f), len(f)) for f in found])
+            return [len(t) for t in texts], [to_string(chain(f), len(f)) for f in found]
+
+        return run
 
-    return kept.mapInPandas(run, schema)
+    return with_columns(docs, {"n_chars": "long", "fingerprint": "string"}, make)
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -159,7 +163,9 @@ def beside_next(docs: DataFrame) -> DataFrame:
     lead = lead.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("doc_id"), "text", F.col("also").alias("part"))
     dealt = rows.unionByName(lead).withColumn("text", F.coalesce("text", F.lit("")))
     dealt = dealt.repartition(max(1, len(order)), "part").sortWithinPartitions("part", F.desc_nulls_last("id"), F.desc("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # Ids go to Python as text, in which nulls don't turn the others into floating point numbers.
+    dealt = dealt.select("part", F.col("id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(frames):
         held = None  # (part, doc_id, text, filters, count) of the row that waits for the next one
@@ -174,11 +180,11 @@ def beside_next(docs: DataFrame) -> DataFrame:
                         of_other = features(other)
                         filters = chain(of_other)
                         out.append((held[1], len(held[2]), hashlib.sha256(other).hexdigest(), to_string(held[3], held[4]), to_string(filters, len(of_other)), likeness(held[3], filters), likeness(held[3], own)))
-                    held = None if pd.isna(row_id) else (part, None if pd.isna(doc_id) else int(doc_id), text, own, len(found))
+                    held = None if row_id is None else (part, doc_id, text, own, len(found))
                 frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                yield frame.astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+                yield frame.astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(docs: DataFrame) -> DataFrame:
