@@ -14,7 +14,7 @@ from lexiloom.llm.common import crc_mod, labelled_texts, sigmoid, with_columns
 WORD = re.compile(r"\w+")
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 PREFIXES = (5, 4, 3)
-LEAST_DOCS = 8
+LEAST_DOCS = 5
 _MEMO_MAX = 300_000
 # Frequent function words, by which a text's own words say which threshold it gets.
 FUNCTION_WORDS = {
@@ -196,7 +196,7 @@ def score_texts(model: dict, words: Words, texts: list[str]) -> np.ndarray:
     return sigmoid(_logits(model, ids, starts, words.embedded()) - model["cut"][_text_langs(words, ids, starts)])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, longest: int = 50_000, learn=None, keep_text: bool = True) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2500, longest: int = 50_000, learn=None, keep_text: bool = True) -> DataFrame:
     """Scores every whole text of docs (doc_id, text; other columns stay) for toxicity.
 
     Adds score (0 to 1) and predicted (1 if score >= 0.5). Trained on at most about ``most`` labelled documents of
