@@ -235,6 +235,8 @@ SELECT k + 1 AS topic, rank, word, word_idx, n FROM r WHERE rank <= 10 AND k IN
 t AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY doc_id)
 SELECT t.doc_id, g.k, round((coalesce(n.n, 0) + 1.0::DOUBLE) / CAST(t.total + {K} AS DOUBLE), 10) AS theta
 FROM t CROSS JOIN (SELECT CAST(unnest(range({K})) AS INT) AS k) g LEFT JOIN n ON n.doc_id = t.doc_id AND n.k = g.k""",
+    "run_info": f"""WITH {TERMS} SELECT 'block' AS method, 1 AS seed, 10 AS topics, 2 AS iterations, (SELECT count(*) FROM documents) AS n_docs,
+count(DISTINCT word) AS n_words, CAST(sum(cnt) AS BIGINT) AS n_tokens FROM terms""",
     "licence_scan": f"WITH {LICENCE} SELECT doc_id, score, score = 3 AS pass FROM scan",
     "licence_summary": f"WITH {LICENCE} SELECT count(*) AS files, count(*) FILTER (score = 3) AS passed FROM scan",
     "titles": f"""WITH {LINES} SELECT d.doc_id, coalesce(t.title, 'doc' || CAST(d.doc_id AS VARCHAR)) AS title

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import STOP_WORDS, bucket
 from lexiloom.operators import bow, lda, layout, linalg, tfidf
+from lexiloom.plans import report
 from lexiloom.plans.fixtures import DOCUMENTS
 from lexiloom.sources import corpus
 
@@ -221,6 +222,10 @@ def lda_theta(spark, sf_dir):
     return lda.theta(state, TOPICS).select("doc_id", "k", F.round("theta", 10).alias("theta"))
 
 
+def run_info(spark, sf_dir):
+    return report.run_info(_terms(spark, sf_dir), _n_docs(spark, sf_dir), "block", TOPICS, 2, 1)
+
+
 def _with_fixtures(spark, sf_dir):
     own = spark.createDataFrame(list(DOCUMENTS.items()), "doc_id long, text string")
     return _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(own)
@@ -336,7 +341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokens_by_lang, doc_terms, doc_terms_nostop, doc_terms_dict, doc_totals_rollup, first_docs_terms, tf, df_idf, tfidf_top10, vocab_index, doc_matrix,
         term_dump, vocab_union, inverted_index, doc_blocks, doc_serpentine, serpentine_load, role_split, word_spread, word_placement, word_bundles,
         queue_start, lda_init_ndk, lda_init_nwk, lda_init_nk, lda_init_phi, lda_init_topwords, lda_sync_sweep, lda_mass_word, lda_mass_doc,
-        lda_mass_total, lda_topics, lda_theta, licence_scan, licence_summary, titles, row_range, row_range_terms, mat_transpose, mat_mul, gram_ata,
+        lda_mass_total, lda_topics, lda_theta, run_info, licence_scan, licence_summary, titles, row_range, row_range_terms, mat_transpose, mat_mul, gram_ata,
         gram_aat, row_norm, row_sum_one, mat_moves, largest_off_diagonal, svd_sigma, svd_energy, svd_check, random_matrix, synth_corpus, synth_share,
         page_terms, conversation_terms, sorted_sizes,
     )

@@ -42,3 +42,11 @@ def test_stream(spark, tmp_path):
     got = word_counts.document_frequencies(spark.read.parquet(str(tmp_path / "out")))
     assert {(r.word, r.df, r.occ) for r in got.collect()} == {("a", 1, 2), ("b", 2, 2)}
     assert bow.vocabulary(spark.read.parquet(str(tmp_path / "out"))).count() == 2
+
+
+def test_run_info(spark):
+    from lexiloom.plans import report
+
+    terms = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (2, "b", 4)], "doc_id long, word string, cnt long")
+    row = report.dated(report.run_info(terms, 3, "serial", 10, 100, 5)).first()
+    assert (row.n_docs, row.n_words, row.n_tokens, row.method) == (3, 2, 7, "serial") and len(row["day"]) == 11 and len(row["time"]) == 8
