@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FINE = 10**15  # steps of a sampling hash: enough to draw thousands of rows from any number
 _OWN_SCRATCH: list[str] = []
 
 
@@ -55,7 +56,7 @@ def bounded_rows(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     n = df.count()
     if n <= most:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(FINE)) < FINE * most // n)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn, most: int, seed: int, longest: int) -> list:

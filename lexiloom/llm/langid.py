@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc_mod, sigmoid, with_columns
+from lexiloom.llm.common import FINE, crc_mod, sigmoid, with_columns
 
 BITS = 14
 POWER = 0.9
@@ -141,8 +141,8 @@ def training_sample(docs: DataFrame, learn, most: int, longest: int) -> list[tup
     """About ``most`` documents of each language at most, chosen by a hash of doc_id; in an order that reruns repeat."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest) & learn).select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").count()  # a row for each language
-    known = known.join(F.broadcast(sizes.select("lang", (F.lit(1e6 * most) / F.col("count")).alias("below"))), "lang")
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < F.col("below")).select("doc_id", "text", "lang").toPandas()
+    known = known.join(F.broadcast(sizes.select("lang", (F.lit(float(FINE) * most) / F.col("count")).alias("below"))), "lang")
+    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FINE)) < F.col("below")).select("doc_id", "text", "lang").toPandas()
     picked = picked.sort_values(["doc_id", "lang", "text"])
     return list(zip(picked["text"], picked["lang"], strict=True))
 

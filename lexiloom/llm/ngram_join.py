@@ -195,7 +195,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     than ASCII white space, case kept) is at least threshold; equal word sequences always link. n_links counts a
     row's links to other rows, class_id is the least doc_id that links lead to, text_id the least one with the same
     words. A text of one to four words is one shingle. Null texts and texts without words link to nothing and are
-    classes of their own, like rows with a null id. Repeated rows link to each other.
+    classes of their own, like rows with a null id. Repeated rows link to each other. An id is taken to name one text:
+    where rows of one id differ in text, each has its own row here, and links of the id are those of one of its texts.
     """
     signed = with_columns(docs.select("doc_id", "text"), {"digest": "binary", "sign": "binary"}, _signer, 2_000_000, keep_text=False)
     signed = materialise(signed, "signatures")
