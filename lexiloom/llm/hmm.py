@@ -165,16 +165,23 @@ class Hmm:
         short = [i for i, s in enumerate(sequences) if len(s) <= STRAIGHT]
         if short:
             out[short] = self.forward([sequences[i] for i in short], np.tile(self.start, (len(short), 1)))[0]
-        for i in (i for i, s in enumerate(sequences) if len(s) > STRAIGHT):
-            parts = [sequences[i][k : k + SEGMENT] for k in range(0, len(sequences[i]), SEGMENT)]
-            log, a = self.forward(parts[:1], self.start[None])
-            logs, ends = self.forward([p for p in parts[1:] for _ in range(STATES)], np.tile(self.move, (len(parts) - 1, 1)))
-            total, v = log[0], a[0]
-            for k in range(len(parts) - 1):
-                own = logs[k * STATES : (k + 1) * STATES]
-                v = (v * np.exp(own - own.max())) @ ends[k * STATES : (k + 1) * STATES]
-                total += own.max() + np.log(v.sum())
-                v /= v.sum()
+        long = [i for i, s in enumerate(sequences) if len(s) > STRAIGHT]
+        if not long:
+            return out
+        later = [[sequences[i][k : k + SEGMENT] for k in range(SEGMENT, len(sequences[i]), SEGMENT)] for i in long]
+        first_logs, first_ends = self.forward([sequences[i][:SEGMENT] for i in long], np.tile(self.start, (len(long), 1)))
+        parts = [p for own in later for p in own]
+        logs, ends = self.forward([p for p in parts for _ in range(STATES)], np.tile(self.move, (len(parts), 1)))
+        logs, ends = logs.reshape(-1, STATES), ends.reshape(-1, STATES, STATES)
+        at = 0
+        for i, own, total, v in zip(long, later, first_logs, first_ends, strict=True):
+            for k in range(at, at + len(own)):
+                most = logs[k].max()
+                v = (v * np.exp(logs[k] - most)) @ ends[k]
+                norm = v.sum()
+                total += most + np.log(norm)
+                v = v / norm
+            at += len(own)
             out[i] = total
         return out
 
@@ -272,7 +279,8 @@ def score_texts(docs: DataFrame, train, rounds: int = ROUNDS) -> DataFrame:
     apart), whose results go back to rows by one more; frequent words, which would make hot keys, are counted within
     tasks.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+    # Ids travel as text, in which nulls don't turn the others into floating point numbers.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     n_docs = rows.count()
     frequent, seeds = frequent_words(rows.where("train"))
     n_buckets = min(max(64, n_docs // DOCS_A_BUCKET), 65_536)
@@ -304,12 +312,12 @@ def score_texts(docs: DataFrame, train, rounds: int = ROUNDS) -> DataFrame:
                 whole = _classes(part["text"], frequent, rare_class)
                 own = [s[s <= FREQUENT] for s in whole]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"), "key": [_key(i, t) for i, t in zip(part["doc_id"], part["text"], strict=True)],
+                    "doc_id": part["doc_id"], "key": [_key(i, t) for i, t in zip(part["doc_id"], part["text"], strict=True)],
                     "n_tokens": [len(s) for s in whole], "own_known": [int(known[s].sum()) for s in own], "own_logs": [float(logs[s].sum()) for s in own],
                     "gain": model.likelihoods(whole) / np.log(10) - [float(masses[s].sum()) for s in whole],
                 })
 
-    scored = rows.mapInPandas(score, "doc_id long, key long, n_tokens long, own_known long, own_logs double, gain double")
+    scored = rows.mapInPandas(score, "doc_id string, key long, n_tokens long, own_known long, own_logs double, gain double")
     scored = materialise(scored, "scores")
     same = scored.groupBy("key").agg(F.count("*").alias("same"))
     rare = counted.where("kind = 0").groupBy("key").agg(F.sum("logs").alias("rare_logs"), F.sum("known").alias("rare_known"))
@@ -317,7 +325,7 @@ def score_texts(docs: DataFrame, train, rounds: int = ROUNDS) -> DataFrame:
     out = scored.join(rare, "key", "left").withColumns({"rare_logs": F.coalesce("rare_logs", F.lit(0.0)), "rare_known": F.coalesce("rare_known", F.lit(0))})
     base = F.col("own_logs") + F.col("rare_logs") - F.col("n_tokens") * F.lit(float(np.log10(divisor)))
     return out.select(
-        "doc_id", "n_tokens", (F.col("own_known") + F.col("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", (F.col("own_known") + F.col("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"), (base + F.col("gain")).alias("score"),
     )
 
