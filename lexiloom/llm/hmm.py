@@ -11,12 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import bounded_rows, chunks, crc_mod, materialise
+from lexiloom.llm.common import chunks, crc_mod, materialise
 
 STATES, ROUNDS = 8, 3
 FREQUENT, RARE = 8191, 256  # word classes: frequent words each of their own, others by their last two bytes
-SEED_DOCS = 500  # texts that the states start from
-SAMPLE_DOCS = 3_000  # documents from which the frequent words are picked (their counts are over all)
+SEED_DOCS = 500  # texts, by a hash over all, that the states start from; Baum-Welch then learns from all
 SEGMENT, STRAIGHT = 512, 1024
 DOCS_A_BUCKET = 4_000
 END = 0
@@ -38,16 +37,58 @@ def _key(doc_id, text: str | None) -> int:
     return xxhash.xxh64_intdigest(f"{doc_id}:".encode() + (text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def frequent_words(docs: DataFrame) -> tuple[dict[bytes, int], list[list[bytes]]]:
-    """The commonest words of a bounded sample, as classes 1 to FREQUENT; and the words of some of its texts."""
-    counts: Counter = Counter()
-    some: list[list[bytes]] = []
-    for (text,) in bounded_rows(docs, "doc_id", SAMPLE_DOCS, 9).select("text").toLocalIterator():
-        counts.update(words := tokens(text))
-        if len(some) < SEED_DOCS and len(words) > 20:
-            some.append(words[:2000])
-    best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]
-    return {w: k + 1 for k, (w, _) in enumerate(best)}, sorted(some)
+def frequent_words(docs: DataFrame) -> tuple[dict[bytes, int], list[int]]:
+    """The commonest words of all rows, as classes 1 to FREQUENT (of equally common ones the least bytes); and the least
+    SEED_DOCS values of _seed_hash among texts of over 20 words. Tasks count, and their counts meet by word."""
+
+    def count(frames):
+        counts, least = Counter(), []
+        for pdf in frames:
+            for part in chunks(pdf, 6_000_000):
+                usable = []
+                for text, h in zip(part["text"], part["h"], strict=True):
+                    counts.update(words := tokens(text))
+                    if len(words) > 20:
+                        usable.append(h)
+                least = sorted({*least, *usable})[:SEED_DOCS]
+                if len(counts) > 300_000 or sum(map(len, counts)) > 30_000_000:
+                    yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+                    counts.clear()
+        if counts:
+            yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+        # Hashes travel as words counted below 0; no word has the space in front.
+        yield pd.DataFrame({"word": [b" " + (h + (1 << 63)).to_bytes(8, "big") for h in least], "n": -1})
+
+    # Both limits read one exchange, and are written so that the driver gets their rows alone, not each task's best.
+    found = docs.select("text", _seed_hash()).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    best = found.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT)
+    hashes = found.where("n < 0").orderBy("word").limit(SEED_DOCS)
+    rows = [(bytes(r["word"]), r["n"]) for r in materialise(best.unionByName(hashes), "words").collect()]
+    words = sorted((-n, w) for w, n in rows if n > 0)
+    return {w: k + 1 for k, (_, w) in enumerate(words)}, sorted(int.from_bytes(w[1:], "big") - (1 << 63) for w, n in rows if n < 0)
+
+
+def _seed_hash():
+    return F.xxhash64("doc_id", "text", F.lit(9)).alias("h")
+
+
+def seed_counts(docs: DataFrame, frequent: dict[bytes, int], hashes: list[int]) -> np.ndarray:
+    """Word classes' counts in the whole texts of these hashes (texts x classes), by hash."""
+    n_classes = 1 + FREQUENT + RARE
+    if not hashes:
+        return np.zeros((0, n_classes), np.float32)
+    given, wanted = docs.sparkSession.sparkContext.broadcast(frequent), frozenset(hashes)
+
+    def count(frames):
+        frequent, rare_class = given.value, _RareClass()
+        for pdf in frames:
+            for part in chunks(pdf[pdf["h"].isin(wanted)], 6_000_000):
+                whole = _classes(part["text"], frequent, rare_class)
+                yield pd.DataFrame({"h": part["h"], "counts": [np.bincount(s, minlength=n_classes).tobytes() for s in whole]})
+
+    near = docs.select("text", _seed_hash()).where(F.col("h") <= max(hashes))
+    got = near.mapInPandas(count, "h long, counts binary").groupBy("h").agg(F.min("counts").alias("counts")).orderBy("h").collect()
+    return np.stack([np.frombuffer(r["counts"], np.int64) for r in got]).astype(np.float32)
 
 
 def _pack(hashes, keys, times, classes) -> bytes:
@@ -210,13 +251,13 @@ class Hmm:
             emit[:, s] += np.bincount(at, gamma[:, s], minlength=len(emit))
 
 
-def initial(mass: np.ndarray, seeds: list[np.ndarray], rng_seed: int = 9, rounds: int = 8) -> Hmm:
-    """A start for Baum-Welch: states that last, each with the classes of one cluster of the seed texts (k-means by
-    cosine, from texts far apart) mixed with all classes' masses."""
+def initial(mass: np.ndarray, seeds: np.ndarray, rng_seed: int = 9, rounds: int = 8) -> Hmm:
+    """A start for Baum-Welch: states that last, each with the classes of one cluster of the seed texts (rows of
+    counts by class; k-means by cosine, from texts far apart) mixed with all classes' masses."""
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
     emit = mass[:, None] * np.random.default_rng(rng_seed).gamma(20.0, 0.05, (len(mass), STATES))
     if len(seeds) >= STATES:
-        x = np.sqrt(np.stack([np.bincount(s, minlength=len(mass)) for s in seeds]).astype(np.float32))
+        x = np.sqrt(seeds)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         picked = [0]
         while len(picked) < STATES:
@@ -282,7 +323,7 @@ def score_texts(docs: DataFrame, train, rounds: int = ROUNDS) -> DataFrame:
     # Ids travel as text, in which nulls don't turn the others into floating point numbers.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     n_docs = rows.count()
-    frequent, seeds = frequent_words(rows.where("train"))
+    frequent, hashes = frequent_words(rows.where("train"))
     n_buckets = min(max(64, n_docs // DOCS_A_BUCKET), 65_536)
     occurrences = rows.mapInPandas(_occurrences(frequent, n_buckets), "bucket long, blob binary")
     counted = materialise(occurrences.groupBy("bucket").applyInPandas(_count, "kind int, key long, logs double, known long"), "word-counts")
@@ -293,9 +334,9 @@ def score_texts(docs: DataFrame, train, rounds: int = ROUNDS) -> DataFrame:
     c[sums["key"].to_numpy(np.int64)], types[sums["key"].to_numpy(np.int64)] = sums["c"], sums["types"]
     n, v = int(c.sum()), int(types.sum())
     divisor = n + 0.1 * (v + 1)
-    # Classes without a word here, such as frequent ones that the sample did not fill, keep a little mass.
+    # Classes without a word here, such as frequent ones where few words differ, keep a little mass.
     mass = (c + 0.1 * np.maximum(types, 1) + 0.1 * (np.arange(n_classes) > FREQUENT)) / divisor
-    model = initial(mass / mass.sum(), _classes([b" ".join(w).decode("utf-8", "replace") for w in seeds], frequent, _RareClass()))
+    model = initial(mass / mass.sum(), seed_counts(rows.where("train"), frequent, hashes))
     if n:
         learn = rows.where("train")
         for _ in range(rounds):

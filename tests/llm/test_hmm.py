@@ -77,3 +77,23 @@ def test_probabilities_of_one_word_texts_sum_to_at_most_one(spark):
     single = docs.unionByName(spark.createDataFrame([(9, ""), (10, "c"), (11, "d"), (12, "never")], docs.schema))
     got = {r.doc_id: 10**r.score for r in hmm.score_texts(single, F.col("doc_id") < 9).collect()}
     assert sum(got[i] for i in (0, 1, 9, 10, 11, 12)) <= 1
+
+
+def test_frequent_words_are_those_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "FREQUENT", 40)
+    monkeypatch.setattr(hmm, "SEED_DOCS", 30)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 30) % 500) for _ in range(3_300)]
+    texts[0] = " ".join(["own"] * 2_500 + ["late"] * 2_500)  # common in one long text only
+    want = sorted(Counter(w for t in texts for w in hmm.tokens(t)).items(), key=lambda x: (-x[1], x[0]))[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [hmm.frequent_words(docs.repartition(n)) for n in (2, 5)]
+    assert found[0] == found[1] and found[0][0] == {w: k + 1 for k, (w, _) in enumerate(want)}
+    assert b"late" in found[0][0] and len(found[0][1]) == 30
+
+
+def test_seed_texts_count_whole(spark):
+    docs = spark.createDataFrame([(i, "a b " * (3_000 if i == 3 else 15)) for i in (1, 2, 3, 3)] + [(4, "a short one")], "doc_id long, text string")
+    frequent, hashes = hmm.frequent_words(docs)
+    counts = hmm.seed_counts(docs.repartition(3), frequent, hashes)
+    assert sorted(counts[:, frequent[b"b"]].tolist()) == [15, 15, 3_000] and (counts[:, hmm.END] == 1).all()
