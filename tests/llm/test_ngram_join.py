@@ -70,3 +70,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     star = spark.range(1, 500).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     assert components(star).where("root <> 0").count() == 0
+
+
+def test_components_of_long_shuffled_paths(spark):
+    rng = random.Random(8)
+    ids = [rng.sample(range(k * 10**6, (k + 1) * 10**6), n) for k, n in enumerate((3_000, 1_000))]
+    edges = [(p[i], p[i + h]) for p, most in zip(ids, (3, 1)) for h in range(1, most + 1) for i in range(len(p) - h)]
+    rng.shuffle(edges)
+    got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: min(p) for p in ids for v in p}
