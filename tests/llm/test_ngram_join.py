@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lexiloom.llm import components as components_of
 from lexiloom.llm import ngram_join
+from lexiloom.llm.common import materialise
 from lexiloom.llm.components import components
 from tests.llm.odd import none, odd, rows
 
@@ -58,11 +61,74 @@ def test_odd(spark):
     got = {}
     for r in found:
         got.setdefault(r.doc_id, []).append((r.class_id, r.n_links))
-    assert got[1] == [(1, 2)] and got[2] == [(1, 2), (1, 2)] and got[3] == [(3, 0)] and got[4] == [(4, 0)] and got[5] == [(5, 0)]
-    assert got[6][0][0] == got[7][0][0] == 6 and got[None] == [(None, 0), (None, 0)] and got[2**60 + 1] == [(2**60 + 1, 0)]
+    assert got[1] == [(1, 3)] and got[2] == [(1, 3), (1, 3)] and got[3] == [(3, 0)] and got[4] == [(4, 0)] and got[5] == [(5, 0)]
+    # A null id is no text's name: the row links by its text, like others.
+    assert got[6][0][0] == got[7][0][0] == 6 and sorted(got[None], key=repr) == [(1, 3), (None, 0)] and got[2**60 + 1] == [(2**60 + 1, 0)]
     assert ngram_join.query(none(spark)).count() == 0
 
 
+def near_copies(n):
+    rng = random.Random(3)
+    base = [f"v{k}" for k in range(100)]
+    return [(i, " ".join(w if rng.random() > 0.012 else f"x{rng.randrange(9)}" for w in base)) for i in range(n)]
+
+
+def test_packs_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PACK", 70)  # several packs, which meet two by two
+    docs = near_copies(300) + [(1000 + i, f"a text of its own number {i} " * 3) for i in range(20)]
+    found = ngram_join.query(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == by_hand(docs)
+
+
+def test_rows_grow_with_the_group(spark, monkeypatch):
+    """What is written between the steps for 2,000 near copies is at most some four times that for 500."""
+    written = {}
+
+    def keep(df, tag):
+        out = materialise(df, tag)
+        written[tag] = written.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", keep)
+    monkeypatch.setattr(components_of, "materialise", keep)
+    sizes = []
+    for n in (500, 2000):
+        written.clear()
+        assert ngram_join.query(spark.createDataFrame(near_copies(n), "doc_id long, text string")).where("n_links > 0").count() > 0.8 * n
+        sizes.append(dict(written))
+    assert all(sizes[1].get(tag, 0) <= 4.4 * k + 50 for tag, k in sizes[0].items()), sizes
+
+
+def test_common_counts(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(23)]
+    want = np.array([[np.intersect1d(x, y).size for y in sets] for x in sets])
+    for dense in (0, 3, 10**9):  # pair by pair, mixed, all in columns
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        assert (ngram_join._common(sets[:9], sets[9:]) == want[:9, 9:]).all()
+        got = ngram_join._common(sets)
+        assert (got - np.diag(np.diag(got)) == want - np.diag(np.diag(want))).all()
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = [(1, a), (1, b), (2, b + " more"), (None, a), (None, a + " more"), (None, b), (3, None), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.text_id) for r in ngram_join.query(df.repartition(3)).collect()), key=repr)
+    want = [(1, 1, 2, 1), (1, 1, 2, 1), (2, 1, 2, 2), (None, 1, 2, 1), (None, 1, 2, None), (None, 1, 2, 1), (3, 3, 0, 3), (None, None, 0, None)]
+    assert got == sorted(want, key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.first_of_classes(df.repartition(3)).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (3, None), (None, "")], key=repr)
+
+
+def test_many_null_ids(spark):
+    text = " ".join(f"a{k}" for k in range(30))
+    df = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.col("id").alias("other"))
+    kept = ngram_join.first_of_classes(df)
+    assert kept.columns == ["doc_id", "text", "other"] and kept.count() == 1
+    assert [tuple(r) for r in ngram_join.query(df).distinct().collect()] == [(None, None, 9_999, None)]
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.v: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}

@@ -30,4 +30,5 @@ def test_odd_rows(spark):
         assert len({r.doc_id for r in found}) >= 1, name
         assert stage(spark, none(spark), DATA).count() == 0, name
     kept = cp.near_duplicate_stage(spark, odd(spark), DATA).collect()
-    assert sum(r.doc_id == 2 for r in kept) == 0 and sum(r.doc_id == 1 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2
+    assert sum(r.doc_id == 2 for r in kept) == 0 and sum(r.doc_id == 1 for r in kept) == 1
+    assert [r.text for r in kept if r.doc_id is None] == [None]  # the other one's text is near that of row 1
