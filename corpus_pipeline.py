@@ -23,15 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of linked documents."""
-    classes = ngram_join.ngram_join(docs).where("class_id = doc_id or doc_id is null")
-    first = materialise(classes.select("doc_id").distinct(), "kept-ids")
-    same_id = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
-    kept = docs.join(first.hint("shuffle_hash"), docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    if same_id:  # rows of one id are one document
-        known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = known.unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    """The row with the least id of each class of linked texts; ids that repeat or are null don't matter to it."""
+    return ngram_join.first_of_classes(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
