@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,34 @@ def bounded_rows(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(FINE)) < FINE * most // n)
 
 
+def sampled_texts(docs: DataFrame, most: int, seed: int) -> DataFrame:
+    """doc_id, text of about ``most`` different rows of docs at most, chosen by a hash of both, so that reruns agree;
+    copies of a row are one row, however many there are and even without an id."""
+    rows, n = docs.select("doc_id", "text"), docs.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(FINE)) < FINE * most // n)
+    return rows.dropDuplicates(["doc_id", "text"])
+
+
+def sum_slices(parts: DataFrame, height: int, width: int, n_tasks: int) -> np.ndarray:
+    """A height x width matrix, on the driver: the sum of those that tasks give in slices (slice: first row, sums: rows
+    of doubles). Slices are added up in two steps, each of about the root of n_tasks parts, so that what one task
+    receives grows with that root only."""
+    fan = max(1, math.isqrt(n_tasks))
+
+    def meet(key, pdf):
+        return pd.DataFrame({"slice": [key[0]], "sums": [sum(np.frombuffer(b) for b in pdf["sums"]).tobytes()]})
+
+    if fan > 1:
+        some = parts.withColumn("part", F.spark_partition_id() % fan).groupBy("slice", "part")
+        parts = some.applyInPandas(meet, "slice long, sums binary")
+    out = np.zeros((height, width))
+    for r in parts.groupBy("slice").applyInPandas(meet, "slice long, sums binary").toLocalIterator():
+        rows = np.frombuffer(r["sums"]).reshape(-1, width)
+        out[r["slice"] : r["slice"] + len(rows)] = rows
+    return out
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn, most: int, seed: int, longest: int) -> list:
     """(doc_id, text, label) of a bounded sample of labelled documents, sorted by a hash of the id.
 
