@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks, crc_mod, materialise
+from lexiloom.llm.common import chunks, crc_mod, materialise, sum_slices
 
 STATES, ROUNDS = 8, 3
 FREQUENT, RARE = 8191, 256  # word classes: frequent words each of their own, others by their last two bytes
@@ -37,9 +37,10 @@ def _key(doc_id, text: str | None) -> int:
     return xxhash.xxh64_intdigest(f"{doc_id}:".encode() + (text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def frequent_words(docs: DataFrame) -> tuple[dict[bytes, int], list[int]]:
-    """The commonest words of all rows, as classes 1 to FREQUENT (of equally common ones the least bytes); and the least
-    SEED_DOCS values of _seed_hash among texts of over 20 words. Tasks count, and their counts meet by word."""
+def frequent_words(docs: DataFrame) -> tuple[dict[bytes, int], list[int], np.ndarray]:
+    """The commonest words of all rows, as classes 1 to FREQUENT (of equally common ones the least bytes); the least
+    SEED_DOCS values of _seed_hash among texts of over 20 words; and how often each of the words stands there, by class
+    (0, the end: 0). Tasks count, and their counts meet by word."""
 
     def count(frames):
         counts, least = Counter(), []
@@ -65,77 +66,69 @@ def frequent_words(docs: DataFrame) -> tuple[dict[bytes, int], list[int]]:
     hashes = found.where("n < 0").orderBy("word").limit(SEED_DOCS)
     rows = [(bytes(r["word"]), r["n"]) for r in materialise(best.unionByName(hashes), "words").collect()]
     words = sorted((-n, w) for w, n in rows if n > 0)
-    return {w: k + 1 for k, (_, w) in enumerate(words)}, sorted(int.from_bytes(w[1:], "big") - (1 << 63) for w, n in rows if n < 0)
+    times = np.zeros(1 + FREQUENT, np.int64)
+    times[1 : 1 + len(words)] = [-n for n, _ in words]
+    return {w: k + 1 for k, (_, w) in enumerate(words)}, sorted(int.from_bytes(w[1:], "big") - (1 << 63) for w, n in rows if n < 0), times
 
 
 def _seed_hash():
     return F.xxhash64("doc_id", "text", F.lit(9)).alias("h")
 
 
-def seed_counts(docs: DataFrame, frequent: dict[bytes, int], hashes: list[int]) -> np.ndarray:
-    """Word classes' counts in the whole texts of these hashes (texts x classes), by hash."""
+def seed_counts(encoded: DataFrame, hashes: list[int]) -> np.ndarray:
+    """Word classes' counts in the whole texts of these hashes (texts x classes), by hash. encoded: h, codes."""
     n_classes = 1 + FREQUENT + RARE
     if not hashes:
         return np.zeros((0, n_classes), np.float32)
-    given, wanted = docs.sparkSession.sparkContext.broadcast(frequent), frozenset(hashes)
-
-    def count(frames):
-        frequent, rare_class = given.value, _RareClass()
-        for pdf in frames:
-            for part in chunks(pdf[pdf["h"].isin(wanted)], 6_000_000):
-                whole = _classes(part["text"], frequent, rare_class)
-                yield pd.DataFrame({"h": part["h"], "counts": [np.bincount(s, minlength=n_classes).tobytes() for s in whole]})
-
-    near = docs.select("text", _seed_hash()).where(F.col("h") <= max(hashes))
-    got = near.mapInPandas(count, "h long, counts binary").groupBy("h").agg(F.min("counts").alias("counts")).orderBy("h").collect()
-    return np.stack([np.frombuffer(r["counts"], np.int64) for r in got]).astype(np.float32)
+    near = encoded.where(F.col("h") <= max(hashes)).groupBy("h").agg(F.min("codes").alias("codes")).where(F.col("h").isin(hashes)).orderBy("h")
+    return np.stack([np.bincount(_decoded(r["codes"]), minlength=n_classes) for r in near.toLocalIterator()]).astype(np.float32)
 
 
 def _pack(hashes, keys, times, classes) -> bytes:
-    """Occurrences as columns: high hash bits (4 and 2 bytes), row key, occurrences (negative: not learned from), class."""
-    high = hashes >> np.uint64(16)
-    parts = (high >> np.uint64(16)).astype(np.uint32), (high & np.uint64(0xFFFF)).astype(np.uint16), keys, times, classes
-    return len(keys).to_bytes(8, "little") + b"".join(p.tobytes() for p in parts)
+    """Occurrences as columns: hash, row key, occurrences (negative: not learned from), class."""
+    return len(keys).to_bytes(8, "little") + b"".join(p.tobytes() for p in (hashes, keys, times, classes))
 
 
 def _unpack(blob: bytes):
     n, at, out = int.from_bytes(blob[:8], "little"), 8, []
-    for kind in (np.uint32, np.uint16, np.int64, np.int32, np.uint8):
+    for kind in (np.uint64, np.int64, np.int32, np.uint8):
         out.append(np.frombuffer(blob, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    return (out[0].astype(np.uint64) << np.uint64(16)) | out[1], *out[2:]
+    return out
+
 
+def _decoded(codes: bytes) -> np.ndarray:
+    return np.frombuffer(codes, np.uint16).astype(np.int64)
 
-def _occurrences(frequent: dict[bytes, int], n_buckets: int):
-    """Rows (bucket, blob): rare words' occurrences by hash; in bucket -1 a task's counts of the frequent ones."""
+
+def _encoded(frequent: dict[bytes, int], n_buckets: int):
+    """Tokenises every text once. Rows of kind 0: a text's key, word classes and how many of its tokens those of the rare
+    words are; of kind 1: rare words' occurrences by bucket of their hash."""
 
     def run(frames):
-        rare_class, known = _RareClass(), np.zeros(1 + FREQUENT, np.int64)
+        rare_class = _RareClass()
         for pdf in frames:
             for part in chunks(pdf, 6_000_000):
-                words, keys, times, kinds = [], [], [], []
-                for doc_id, text, train in zip(part["doc_id"], part["text"], part["train"], strict=True):
-                    found = Counter(tokens(text))
-                    rare = [w for w in found if w not in frequent]
-                    if train:
-                        known[END] += 1
-                        for w in found.keys() & frequent.keys():
-                            known[frequent[w]] += found[w]
-                    words += [xxhash.xxh64_intdigest(w) for w in rare]
-                    keys += [_key(doc_id, text)] * len(rare)
-                    times += [found[w] if train else -found[w] for w in rare]
-                    kinds += [rare_class[w[-2:]] for w in rare]
+                words, times, kinds, own, rares = [], [], [], [], []
+                for text, train in zip(part["text"], part["train"], strict=True):
+                    whole = tokens(text)
+                    own.append(_codes(whole, frequent, rare_class).tobytes())
+                    found = Counter(w for w in whole if w not in frequent)
+                    rares.append(len(found))
+                    words += map(xxhash.xxh64_intdigest, found)
+                    times += found.values() if train else [-n for n in found.values()]
+                    kinds += [rare_class[w[-2:]] for w in found]
+                keys = np.array([_key(i, t) for i, t in zip(part["doc_id"], part["text"], strict=True)], np.int64)
+                yield pd.DataFrame({"kind": 0, "doc_id": part["doc_id"], "train": part["train"], "h": part["h"], "key": keys, "codes": own, "bucket": -1, "blob": None})
                 if not words:
                     continue
-                hashes = np.array(words, dtype=np.uint64)
-                keys, times = np.array(keys, np.int64), np.array(times, np.int32)
-                kinds = (np.array(kinds) - 1 - FREQUENT).astype(np.uint8)
-                bucket = ((hashes & np.uint64(0xFFFF)) % np.uint64(n_buckets)).astype(np.int64)
+                hashes, keys = np.array(words, dtype=np.uint64), np.repeat(keys, rares)
+                times, kinds = np.array(times, np.int32), (np.array(kinds) - 1 - FREQUENT).astype(np.uint8)
+                bucket = (hashes % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                rows = [(b, _pack(hashes[o], keys[o], times[o], kinds[o])) for b in range(n_buckets) if len(o := order[ends[b] : ends[b + 1]])]
-                yield pd.DataFrame(rows, columns=["bucket", "blob"])
-        yield pd.DataFrame({"bucket": [-1], "blob": [known.tobytes()]})
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                rows = [(int(bucket[o[0]]), _pack(hashes[o], keys[o], times[o], kinds[o])) for o in np.split(order, edges[1:])]
+                yield pd.DataFrame({"kind": 1, "doc_id": None, "train": False, "h": 0, "key": 0, "codes": None, "bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]})
 
     return run
 
@@ -143,10 +136,6 @@ def _occurrences(frequent: dict[bytes, int], n_buckets: int):
 def _count(key, pdf):
     """From a bucket's occurrences, by row: sum of log10(count + 0.1) over its tokens there, and how many are known; by
     class (kind 1): sum of counts, and number of words."""
-    if key[0] == -1:
-        sums = sum(np.frombuffer(b, np.int64) for b in pdf["blob"])
-        at = np.flatnonzero(sums)
-        return pd.DataFrame({"kind": 2, "key": at, "logs": sums[at].astype(np.float64), "known": np.ones(len(at), np.int64)})
     hashes, keys, times, kinds = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"]), strict=True))
     _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
     c = np.bincount(word, np.maximum(times, 0))
@@ -161,12 +150,10 @@ def _count(key, pdf):
     return pd.concat([out, classes[classes["known"] > 0]])
 
 
-def _classes(texts, frequent: dict[bytes, int], rare_class: dict) -> list[np.ndarray]:
-    """Each text as word classes, the end last."""
-    get, out = frequent.get, []
-    for text in texts:
-        out.append(np.array([get(w) or rare_class[w[-2:]] for w in tokens(text)] + [END], dtype=np.int64))
-    return out
+def _codes(words: list[bytes], frequent: dict[bytes, int], rare_class: dict) -> np.ndarray:
+    """Word classes of a text, the end last."""
+    get = frequent.get
+    return np.array([get(w) or rare_class[w[-2:]] for w in words] + [END], dtype=np.uint16)
 
 
 def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,35 +259,37 @@ def initial(mass: np.ndarray, seeds: np.ndarray, rng_seed: int = 9, rounds: int
     return Hmm(np.full(STATES, 1.0 / STATES), move, emit / emit.sum(axis=0))
 
 
-def baum_welch_round(docs: DataFrame, frequent: dict[bytes, int], model: Hmm, mass: np.ndarray) -> Hmm:
-    """One round over all of docs: tasks add up expected counts, which meet by slices of classes and then here
-    (classes x states, whatever the input). Texts over SEGMENT tokens are learned in segments."""
-    given = docs.sparkSession.sparkContext.broadcast((frequent, model))
+def _parts(frames, tokens_at_once: int = 400_000):
+    """Slices of frames whose codes hold about so many tokens, one row at least."""
+    for pdf in frames:
+        ends = np.cumsum(pdf["codes"].str.len().to_numpy() // 2)
+        low = 0
+        while low < len(pdf):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + tokens_at_once, side="right")))
+            yield pdf.iloc[low:high]
+            low = high
+
+
+def baum_welch_round(encoded: DataFrame, model: Hmm, mass: np.ndarray, n_tasks: int) -> Hmm:
+    """One round over all texts (codes): tasks add up expected counts, which meet by slices of classes, in two steps, and
+    then here (classes x states, whatever the input). Texts over SEGMENT tokens are learned in segments."""
+    given = encoded.sparkSession.sparkContext.broadcast(model)
     height = len(mass) + STATES + 1
 
     def add(frames):
-        frequent, model = given.value
-        rare_class, total = _RareClass(), np.zeros((height, STATES))
+        model, total = given.value, np.zeros((height, STATES))
         start, move, emit = total[:1], total[1 : 1 + STATES], total[1 + STATES :]
         later = np.linalg.matrix_power(model.move, 64)[0]
-        for pdf in frames:
-            for part in chunks(pdf, 2_000_000):
-                whole = _classes(part["text"], frequent, rare_class)
-                first, rest = [s[:SEGMENT] for s in whole], [s[k : k + SEGMENT] for s in whole for k in range(SEGMENT, len(s), SEGMENT)]
-                model.counts(first, np.tile(model.start, (len(first), 1)), start[0], move, emit)
-                if rest:
-                    model.counts(rest, np.tile(later, (len(rest), 1)), np.zeros(STATES), move, emit)
+        for part in _parts(frames):
+            whole = [_decoded(c) for c in part["codes"]]
+            first, rest = [s[:SEGMENT] for s in whole], [s[k : k + SEGMENT] for s in whole for k in range(SEGMENT, len(s), SEGMENT)]
+            model.counts(first, np.tile(model.start, (len(first), 1)), start[0], move, emit)
+            if rest:
+                model.counts(rest, np.tile(later, (len(rest), 1)), np.zeros(STATES), move, emit)
         for k in range(0, height, 512):
             yield pd.DataFrame({"slice": [k], "sums": [total[k : k + 512].tobytes()]})
 
-    def meet(key, pdf):
-        return pd.DataFrame({"slice": [key[0]], "sums": [sum(np.frombuffer(b) for b in pdf["sums"]).tobytes()]})
-
-    got = docs.select("text").mapInPandas(add, "slice long, sums binary").groupBy("slice").applyInPandas(meet, "slice long, sums binary").toPandas()
-    total = np.zeros((height, STATES))
-    for k, b in zip(got["slice"], got["sums"], strict=True):
-        rows = np.frombuffer(b).reshape(-1, STATES)
-        total[k : k + len(rows)] = rows
+    total = sum_slices(encoded.select("codes").mapInPandas(add, "slice long, sums binary"), height, STATES, n_tasks)
     start, move, emit = total[0] + 0.1, total[1 : 1 + STATES] + 0.1, total[1 + STATES :] + mass[:, None]
     return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
@@ -316,49 +305,54 @@ def score_texts(docs: DataFrame, train, rounds: int = ROUNDS) -> DataFrame:
     Null and empty texts are the end alone. Without training rows N is 0 and all tokens are unknown. Rows equal in id
     and text get equal scores, and train as often as they stand there.
 
-    Counts of words outside the frequent ones are made by one exchange of occurrences by hash (57 bits tell words
+    Texts are tokenised twice: to find the frequent words, and to be written as word classes, which all later steps
+    read. Counts of words outside the frequent ones are made by one exchange of occurrences by hash (64 bits tell words
     apart), whose results go back to rows by one more; frequent words, which would make hot keys, are counted within
     tasks.
     """
     # Ids travel as text, in which nulls don't turn the others into floating point numbers.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    n_docs = rows.count()
-    frequent, hashes = frequent_words(rows.where("train"))
-    n_buckets = min(max(64, n_docs // DOCS_A_BUCKET), 65_536)
-    occurrences = rows.mapInPandas(_occurrences(frequent, n_buckets), "bucket long, blob binary")
-    counted = materialise(occurrences.groupBy("bucket").applyInPandas(_count, "kind int, key long, logs double, known long"), "word-counts")
-
-    sums = counted.where("kind > 0").groupBy("key").agg(F.sum("logs").alias("c"), F.sum("known").alias("types")).toPandas()
+    n_docs, n_train = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
+    frequent, hashes, times = frequent_words(rows.where("train"))
+    n_buckets = max(64, n_docs // DOCS_A_BUCKET)
+    schema = "kind int, doc_id string, train boolean, h long, key long, codes binary, bucket long, blob binary"
+    written = materialise(rows.withColumn("h", _seed_hash()).mapInPandas(_encoded(frequent, n_buckets), schema), "encoded")
+    encoded = written.where("kind = 0")
+    counted = written.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInPandas(_count, "kind int, key long, logs double, known long")
+    counted = materialise(counted, "word-counts")
+
+    sums = counted.where("kind = 1").groupBy("key").agg(F.sum("logs").alias("c"), F.sum("known").alias("types")).toPandas()
     n_classes = 1 + FREQUENT + RARE
     c, types = np.zeros(n_classes), np.zeros(n_classes)
     c[sums["key"].to_numpy(np.int64)], types[sums["key"].to_numpy(np.int64)] = sums["c"], sums["types"]
+    c[: 1 + FREQUENT], c[END] = times, n_train
+    types[: 1 + FREQUENT] = c[: 1 + FREQUENT] > 0
     n, v = int(c.sum()), int(types.sum())
     divisor = n + 0.1 * (v + 1)
     # Classes without a word here, such as frequent ones where few words differ, keep a little mass.
     mass = (c + 0.1 * np.maximum(types, 1) + 0.1 * (np.arange(n_classes) > FREQUENT)) / divisor
-    model = initial(mass / mass.sum(), seed_counts(rows.where("train"), frequent, hashes))
+    model = initial(mass / mass.sum(), seed_counts(encoded.where("train"), hashes))
     if n:
-        learn = rows.where("train")
+        learn = encoded.where("train")
+        n_tasks = learn.rdd.getNumPartitions()  # nothing is run for this
         for _ in range(rounds):
-            model = baum_welch_round(learn, frequent, model, mass / mass.sum())
+            model = baum_welch_round(learn, model, mass / mass.sum(), n_tasks)
 
     logs = np.log10(c + 0.1)
-    given = docs.sparkSession.sparkContext.broadcast((frequent, model, logs, np.log10(mass), c > 0))
+    given = docs.sparkSession.sparkContext.broadcast((model, logs, np.log10(mass), c > 0))
 
     def score(frames):
-        frequent, model, logs, masses, known = given.value
-        rare_class = _RareClass()
-        for pdf in frames:
-            for part in chunks(pdf, 2_000_000):
-                whole = _classes(part["text"], frequent, rare_class)
-                own = [s[s <= FREQUENT] for s in whole]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "key": [_key(i, t) for i, t in zip(part["doc_id"], part["text"], strict=True)],
-                    "n_tokens": [len(s) for s in whole], "own_known": [int(known[s].sum()) for s in own], "own_logs": [float(logs[s].sum()) for s in own],
-                    "gain": model.likelihoods(whole) / np.log(10) - [float(masses[s].sum()) for s in whole],
-                })
-
-    scored = rows.mapInPandas(score, "doc_id string, key long, n_tokens long, own_known long, own_logs double, gain double")
+        model, logs, masses, known = given.value
+        for part in _parts(frames):
+            whole = [_decoded(c) for c in part["codes"]]
+            own = [s[s <= FREQUENT] for s in whole]
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"], "key": part["key"], "n_tokens": [len(s) for s in whole],
+                "own_known": [int(known[s].sum()) for s in own], "own_logs": [float(logs[s].sum()) for s in own],
+                "gain": model.likelihoods(whole) / np.log(10) - [float(masses[s].sum()) for s in whole],
+            })
+
+    scored = encoded.select("doc_id", "key", "codes").mapInPandas(score, "doc_id string, key long, n_tokens long, own_known long, own_logs double, gain double")
     scored = materialise(scored, "scores")
     same = scored.groupBy("key").agg(F.count("*").alias("same"))
     rare = counted.where("kind = 0").groupBy("key").agg(F.sum("logs").alias("rare_logs"), F.sum("known").alias("rare_known"))

@@ -88,12 +88,16 @@ def test_frequent_words_are_those_of_all_rows(spark, monkeypatch):
     want = sorted(Counter(w for t in texts for w in hmm.tokens(t)).items(), key=lambda x: (-x[1], x[0]))[:40]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = [hmm.frequent_words(docs.repartition(n)) for n in (2, 5)]
-    assert found[0] == found[1] and found[0][0] == {w: k + 1 for k, (w, _) in enumerate(want)}
+    assert found[0][:2] == found[1][:2] and (found[0][2] == found[1][2]).all() and found[0][0] == {w: k + 1 for k, (w, _) in enumerate(want)}
     assert b"late" in found[0][0] and len(found[0][1]) == 30
 
 
 def test_seed_texts_count_whole(spark):
     docs = spark.createDataFrame([(i, "a b " * (3_000 if i == 3 else 15)) for i in (1, 2, 3, 3)] + [(4, "a short one")], "doc_id long, text string")
-    frequent, hashes = hmm.frequent_words(docs)
-    counts = hmm.seed_counts(docs.repartition(3), frequent, hashes)
+    frequent, hashes, times = hmm.frequent_words(docs)
+    rows = docs.selectExpr("cast(doc_id as string) as doc_id", "text", "true as train").withColumn("h", hmm._seed_hash())
+    hashes = hmm.frequent_words(rows)[1]
+    schema = "kind int, doc_id string, train boolean, h long, key long, codes binary, bucket long, blob binary"
+    counts = hmm.seed_counts(rows.repartition(3).mapInPandas(hmm._encoded(frequent, 4), schema).where("kind = 0"), hashes)
+    assert times[frequent[b"b"]] == 15 + 15 + 3_000 + 3_000 and times[hmm.END] == 0
     assert sorted(counts[:, frequent[b"b"]].tolist()) == [15, 15, 3_000] and (counts[:, hmm.END] == 1).all()
