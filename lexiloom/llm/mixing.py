@@ -15,7 +15,9 @@ _PARTS = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Adds size: the number of words of the text, 0 for null."""
+    """Adds size, the number of words of the text (0 for null), and key, a digest of source and text by which rows of one
+    id, or without one, are told apart."""
+    docs = docs.withColumn("key", F.md5(F.concat_ws("|", F.coalesce(F.octet_length("source"), F.lit(-1)), "source", F.coalesce(F.octet_length("text"), F.lit(-1)), "text").cast("binary")))
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
@@ -45,30 +47,31 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 
 def finish_times(docs: DataFrame, seed: int = 4) -> DataFrame:
-    """doc_id, size, source_size, src, target, total, mark and through for each row of docs (doc_id, source, size).
+    """doc_id, key, size, source_size, src, target, total, mark and through for each row of docs (doc_id, source, size, key).
 
-    through: words of the source up to and with this document, in an order shuffled by mark, an md5 of seed and id.
+    through: words of the source up to and with this document, in an order shuffled by mark, an md5 of seed and id (where
+    that is null, of seed and key).
     The running sum has two steps, so that no window holds a whole source: sums of the 4096 parts that the first
     digits of mark give, then rows within a part.
     """
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select("doc_id", "source", "size", mark.alias("mark"))
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), "key"))).cast("binary"))
+    rows = docs.select("doc_id", "source", "size", "key", mark.alias("mark"))
     rows = materialise(rows.withColumn("part", F.conv(F.substring("mark", 1, 3), 16, 10).cast("int")), "mix-sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
     parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.part", "before", "t.*")
-    within = W.partitionBy("src", "part").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("src", "part").orderBy("mark", "doc_id", "size", "key").rowsBetween(W.unboundedPreceding, 0)
     joined = rows.alias("r").join(parts.alias("q"), (F.col("r.part") == F.col("q.part")) & F.col("r.source").eqNullSafe(F.col("q.source")))
-    joined = joined.select("doc_id", "size", "mark", F.col("q.part").alias("part"), "before", "source_size", "src", "target", "total")
+    joined = joined.select("doc_id", "size", "key", "mark", F.col("q.part").alias("part"), "before", "source_size", "src", "target", "total")
     return joined.withColumn("through", F.col("before") + F.sum("size").over(within)).drop("before", "part")
 
 
 def _place(copy) -> list:
     """A copy's place in the queue: finish time first, then what tells equal ones apart."""
     finish = (F.col("through") + copy * F.col("source_size")) / F.col("target")
-    return [finish.alias("finish"), F.col("src"), F.col("mark"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("size"), copy.cast("int").alias("copy")]
+    return [finish.alias("finish"), F.col("src"), F.col("mark"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("size"), F.col("key"), copy.cast("int").alias("copy")]
 
 
 def _last_place(rows: DataFrame):
@@ -119,18 +122,31 @@ def mixed(docs: DataFrame, seed: int = 4) -> DataFrame:
     finish, its virtual finish time, range-sorted by finish.
 
     Null texts and texts without words are never taken; where there are no words at all, nothing is. Null ids and
-    sources are values of their own. Rows of one doc_id are told apart by their sizes. Columns size, copy and finish
-    are replaced.
+    sources are values of their own. Rows are told apart by id, source and text, so rows of one id, or without one, come
+    as often as they themselves are taken. Rows equal in all three share what they are taken together: of m such rows
+    the i-th, by the other columns, has every m-th place from the i-th on. Columns size, key, copy and finish are replaced.
     """
-    own = sized(docs.drop("size", "copy", "finish"))
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("size"))
-    rows = own.where(F.col("size") > 0).withColumn("nth", nth).drop("size")
-    picked = scheduled(own, seed).where(F.col("size") > 0).withColumn("nth", nth).where(F.col("copies") > 0)
-    picked = picked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    finish = ((F.col("through") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target")).alias("finish")
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), "copy", finish)
-    both = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_nth")))
-    return both.drop("nth", "_id", "_nth").orderBy("finish", "source", "doc_id", "copy")
+    own = sized(docs.drop("size", "key", "copy", "finish"))
+    finish = (F.col("through") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target")
+    picked = scheduled(own, seed).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    picked = picked.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct(finish.alias("finish"), "copy"))).alias("_places"))
+    picked = picked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_places")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = own.where("size > 0").drop("size")
+    # A place of a row that stands alone is its own; only rows that have equals are numbered, and only where there are any.
+    repeated = own.where("size > 0").groupBy("doc_id", "key").agg(F.count("*").alias("_m")).where("_m > 1")
+    repeated = materialise(repeated.select(F.col("doc_id").alias("_id2"), F.col("key").alias("_key2"), "_m"), "mix-repeated")
+    both = rows.join(picked.hint("shuffle_hash"), same).drop("_id", "_key")
+    if not repeated.isEmpty():
+        twice = (F.col("key") == F.col("_key2")) & F.col("doc_id").eqNullSafe(F.col("_id2"))
+        both = both.join(repeated, twice, "left").drop("_id2", "_key2")
+        others = [c for c in docs.columns if c not in ("size", "key", "copy", "finish")]
+        nth = F.row_number().over(W.partitionBy("doc_id", "key").orderBy(F.xxhash64(*others))) - 1
+        alone, equal = both.where("_m is null"), both.where("_m is not null").withColumn("_nth", nth)
+        every = F.filter("_places", lambda x, i: i % F.col("_m") == F.col("_nth"))
+        both = alone.drop("_m").unionByName(equal.withColumn("_places", every).drop("_m", "_nth"))
+    taken = both.withColumn("_place", F.explode("_places")).drop("_places", "key")
+    return taken.withColumns({"copy": F.col("_place.copy"), "finish": F.col("_place.finish")}).drop("_place").orderBy("finish", "source", "doc_id", "copy")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from lexiloom.llm import mixing
 from tests.llm.odd import none, odd, rows
@@ -54,3 +55,29 @@ def test_oracle(spark):
     theirs = con.execute(mixing.ORACLE)
     names = [d[0] for d in theirs.description]
     assert sorted(tuple(r[c] for c in names) for r in mixing.query(docs).collect()) == sorted(theirs.fetchall())
+
+
+def test_rows_are_told_apart_by_their_texts(spark):
+    """Ids that repeat or are null, in two sources and with equal sizes: each row comes as often as itself is taken."""
+    docs = [(i % 5 if i % 3 else None, f"word{i} two three", f"s{i % 2}") for i in range(300)]
+    docs += [(7, "the same text", "s0")] * 4 + [(None, "same text too", "s1")] * 3
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(docs)], "doc_id long, text string, source string, other long")
+    mix = mixing.mixed(df.repartition(3)).collect()
+    taken = {}
+    for r in mixing.scheduled(mixing.sized(df)).collect():
+        taken.setdefault((r.doc_id, r.key), []).append(r.copies)
+    keys = {(r.doc_id, r.text, r.source): r.key for r in mixing.sized(df).collect()}
+    got = {}
+    for r in mix:
+        at = r.doc_id, keys[r.doc_id, r.text, r.source]
+        got[at] = got.get(at, 0) + 1
+    assert got == {k: sum(v) for k, v in taken.items() if sum(v)} and all(r.copy <= 3 for r in mix)
+    assert len({(r.doc_id, r.text, r.source, r.finish, r.copy) for r in mix if r.text not in ("the same text", "same text too")}) == len([r for r in mix if r.text not in ("the same text", "same text too")])
+    again = mixing.mixed(df.repartition(5)).collect()
+    assert sorted(map(repr, mix)) == sorted(map(repr, again))
+
+
+def test_many_rows_without_ids(spark):
+    df = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a text "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    mix = mixing.mixed(df)
+    assert mix.count() == 10_000 and mix.select("text").distinct().count() == 10_000
