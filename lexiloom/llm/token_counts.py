@@ -6,6 +6,7 @@ import base64
 import hashlib
 import os
 import re
+from importlib import metadata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,10 +21,10 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞]")
 
 
 def version_of(path: str) -> str:
-    """Digest of the tokenizer's file and library."""
+    """Digest of the tokenizer's file, and of its library's name and version: an upgrade finds no counts of the old one."""
     kind = "sentencepiece" if path.endswith(".model") else "tokenizers"
     with open(path, "rb") as f:
-        return hashlib.sha256(kind.encode() + b"\0" + f.read()).hexdigest()
+        return hashlib.sha256(f"{kind} {metadata.version(kind)}".encode() + b"\0" + f.read()).hexdigest()
 
 
 class TokenCounter:
@@ -66,7 +67,9 @@ class TokenCounter:
 
 
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Adds to doc_id of each row of docs (doc_id, text): n_bytes (UTF-8) and n_tokens of the whole text, null being empty.
+    """doc_id, n_bytes (UTF-8) and n_tokens of the whole text, null being empty, for each row of docs (doc_id, text; no
+    other column is read, so clashing ones are no matter). Repeated rows, rows with null ids and rows of one id with
+    different texts each have the counts of their own text. Very long texts are encoded whole, one at a time.
 
     cache is a folder that all executors share, kept from call to call: a Parquet table of version, digest and
     n_tokens. Digests are SHA-256 of the content, normalised by null becoming the empty text and by nothing else,
@@ -86,14 +89,16 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, ranks: st
         known = spark.createDataFrame([], "version string, digest binary, n_tokens long")
     misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("of")).join(known.select("digest"), "digest", "left_anti")
     misses = materialise(misses, "misses")
-    # Texts are dealt by id to their digests; the digests are the small side, which no task sorts or holds texts for.
-    texts = docs.select("doc_id", text.alias("text")).join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")))
-    texts = texts.where(own_digest == F.col("digest")).select("digest", "text")
+    # Texts are dealt by id and digest to the misses, which are the small side that no task sorts or holds texts for.
+    texts = docs.select("doc_id", text.alias("text"), own_digest.alias("own"))
+    texts = texts.join(misses.hint("shuffle_hash"), (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("digest", "text")
 
     def encode(frames):
-        counter = TokenCounter(path, ranks, pattern)
+        counter, seen = TokenCounter(path, ranks, pattern), set()  # rows equal in id and text meet here, and one is encoded
         for pdf in frames:
-            for part in chunks(pdf):
+            new = ~pdf["digest"].duplicated() & ~pdf["digest"].isin(seen)
+            seen.update(pdf["digest"][new])
+            for part in chunks(pdf[new]):
                 yield pd.DataFrame({"digest": part["digest"], "n_tokens": [counter(t) for t in part["text"]]})
 
     counted = texts.mapInPandas(encode, "digest binary, n_tokens long").dropDuplicates(["digest"])

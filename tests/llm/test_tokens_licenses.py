@@ -3,6 +3,7 @@ import random
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiloom.llm import license_scan as ls
@@ -58,6 +59,27 @@ def test_cache(spark, tmp_path, monkeypatch):
     assert tc.token_counts(none(spark), BPE).count() == 0
 
 
+def test_rows_without_ids_and_with_clashing_ones(spark, tmp_path):
+    """Null ids don't square rows, ids with several texts keep their counts, and each text is encoded once."""
+    docs = [(None, f"text {k % 7}") for k in range(3_000)] + [(1, "a"), (1, "a b c"), (1, "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    cache = str(tmp_path / "cache")
+    got = tc.token_counts(df, BPE, cache).groupBy("doc_id", "n_bytes", "n_tokens").count().collect()
+    want = {(None, 6, count("text 1")): 3_000, (1, 1, count("a")): 2, (1, 5, count("a b c")): 1}
+    assert {(r.doc_id, r.n_bytes, r.n_tokens): r["count"] for r in got} == want
+    assert spark.read.parquet(cache).count() == 9
+
+
+def test_a_known_text_is_not_encoded(spark, tmp_path, monkeypatch):
+    cache, df = str(tmp_path / "cache"), spark.createDataFrame([(1, "one"), (2, "two words")], "doc_id long, text string")
+    first = sorted(map(tuple, tc.token_counts(df, BPE, cache).collect()))
+    written = spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 100)
+    written.write.parquet(cache + "-shifted")  # counts that only the cache can give
+    assert [(i, b, n + 100) for i, b, n in first] == sorted(map(tuple, tc.token_counts(df, BPE, cache + "-shifted").collect()))
+    monkeypatch.setattr(tc.metadata, "version", lambda name: "0.0")  # another version's counts aren't taken
+    assert first == sorted(map(tuple, tc.token_counts(df, BPE, cache + "-shifted").collect()))
+
+
 def test_alignment():
     assert ls.longest_increasing([3, 1, 2, 9, 4]) == [1, 2, 4] and ls.longest_increasing([]) == []
     rng = random.Random(1)
