@@ -13,9 +13,16 @@ from lexiloom.llm.common import chunks, with_columns
 
 WINDOW = 16  # bytes in a feature
 NEAR, OFTEN = 32, 8  # a feature is the rarest of NEAR windows in a row, and so in OFTEN such rows at least
+# Of a million windows of prose, how many have 0, 1, 2, ... pairs of equal bytes (see repetition). Windows with
+# more pairs than the last are runs and rules rather than words, and are taken only where there is nothing else.
+PROSE = (
+    37, 1081, 7691, 24609, 51701, 86027, 112336, 124567, 130777, 115389, 92908, 76836, 47650, 38312, 24922, 18014, 10800, 10038, 7648, 5239, 2898,
+    2277, 1004,
+)
 BITS, HASHES, FEATURES = 2048, 5, 160  # of one filter; the chain grows by a filter for each FEATURES features
 ROWS_A_PART = 4_000
 _M = np.uint64(0x9E3779B97F4A7C15)
+_RANK = np.append(np.argsort(np.argsort(PROSE, kind="stable"), kind="stable"), len(PROSE)).astype(np.uint64)
 
 
 def window_hashes(b: np.ndarray) -> np.ndarray:
@@ -53,15 +60,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def features(data: bytes) -> np.ndarray:
-    """Hashes of the selected windows, in order of place. Each run of NEAR windows (shorter at the ends) has a rarest:
-    the one of the highest collision entropy, among equals the one of the least hash. Windows that are so in OFTEN runs
-    are selected. A text shorter than a window is one feature."""
+    """Hashes of the selected windows, in order of place. Each run of NEAR windows (shorter at the ends) has a rarest: the
+    one whose collision entropy is the rarest by PROSE, be it high or low, among equals the one of the least hash. Windows
+    that are so in OFTEN runs are selected. A text shorter than a window is one feature."""
     if not data:
         return np.zeros(0, np.uint64)
     b = np.frombuffer(data, np.uint8)
     if len(b) < WINDOW:
         return window_hashes(np.concatenate((b, np.full(WINDOW - len(b), 255, np.uint8))))
-    key = (repetition(b).astype(np.uint64) << np.uint64(40)) | (window_hashes(b) >> np.uint64(24))
+    key = (_RANK[np.minimum(repetition(b), len(PROSE))] << np.uint64(40)) | (window_hashes(b) >> np.uint64(24))
     edge = np.full(NEAR - 1, np.iinfo(np.uint64).max, np.uint64)
     least = _sliding_min(np.concatenate((edge, key, edge)), NEAR)
     starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
@@ -135,8 +142,9 @@ def beside_next(docs: DataFrame) -> DataFrame:
     """The result of query(): each row of docs (doc_id, text) beside the next in descending order of doc_id (null last;
     among equal ids by descending text), the first being next after the last.
 
-    Ids alone give bounds of about ROWS_A_PART rows each; a part is sorted in one task, and holds a second copy of the
-    first row of the part after it. The driver gets two rows of ids a part.
+    Ids alone give bounds of about ROWS_A_PART rows each; a part is sorted in one task of its own, and holds a second copy
+    of the first row of the part after it. The driver gets two rows of ids a part. Rows of one id, null ones too, share a
+    part. Null texts count as empty; a text's own arrays (some 50 bytes a character) are held for one text at a time.
     """
     spark = docs.sparkSession
     ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("id"))
@@ -162,7 +170,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     lead = lead.groupBy("also").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     lead = lead.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("doc_id"), "text", F.col("also").alias("part"))
     dealt = rows.unionByName(lead).withColumn("text", F.coalesce("text", F.lit("")))
-    dealt = dealt.repartition(max(1, len(order)), "part").sortWithinPartitions("part", F.desc_nulls_last("id"), F.desc("text"))
+    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.desc_nulls_last("id"), F.desc("text"))
     # Ids go to Python as text, in which nulls don't turn the others into floating point numbers.
     dealt = dealt.select("part", F.col("id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
