@@ -1,4 +1,5 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, with thresholds by language."""
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, with thresholds by the language
+that the language ID operator finds in a text."""
 
 from __future__ import annotations
 
@@ -9,24 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm import langid
 from lexiloom.llm.common import crc_mod, labelled_texts, sigmoid, with_columns
 
 WORD = re.compile(r"\w+")
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 PREFIXES = (5, 4, 3)
 LEAST_DOCS = 5
+LANG_DOCS = 250
 _MEMO_MAX = 300_000
-# Frequent function words, by which a text's own words say which threshold it gets.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that was for with",
-    "de": "der die das und nicht ein von zu mit auf",
-    "fr": "le les et des une du est pour dans avec",
-    "es": "el los las que del y una por con para",
-}
-_LANG_OF = {w: k + 1 for k, words in enumerate(FUNCTION_WORDS.values()) for w in words.split()}
-_OTHER = 0
-
-
 def buckets(word: str) -> list[int]:
     """Hashed features of a word: itself and its first letters."""
     return [xxhash.xxh32_intdigest(word)] + [xxhash.xxh32_intdigest(word[:n], seed=n) if len(word) > n else -1 for n in PREFIXES]
@@ -44,18 +36,17 @@ class _Rows(dict):
 
 
 class Words(dict):
-    """word -> index of its embedding and language; 0 is the padding between texts."""
+    """word -> index of its embedding; 0 is the padding between texts."""
 
     def __init__(self, row_of: dict[int, int], vectors: np.ndarray):
         self.row_of, self.vectors = row_of, vectors
         self.five, self.four, self.three = (_Rows(row_of, n) for n in PREFIXES)
-        self.rows, self.lang, self.table = [(0, 0, 0, 0)], [_OTHER], np.zeros((1, DIM), np.float32)
+        self.rows, self.table = [(0, 0, 0, 0)], np.zeros((1, DIM), np.float32)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self.rows)
         n, whole = len(word), self.row_of.get(xxhash.xxh32_intdigest(word), 0)
         self.rows.append((whole, self.five[word[:5]] if n > 5 else 0, self.four[word[:4]] if n > 4 else 0, self.three[word[:3]] if n > 3 else 0))
-        self.lang.append(_LANG_OF.get(word, _OTHER))
         return at
 
     def embedded(self) -> np.ndarray:
@@ -93,14 +84,11 @@ def _logits(model: dict, ids: np.ndarray, starts: np.ndarray, table: np.ndarray)
     return np.maximum(most + model["b"], 0) @ model["out"] + model["bias"]
 
 
-def _text_langs(words: Words, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The language with the most function words in each text; other where there are none."""
-    lang = np.array(words.lang, dtype=np.int64)[ids]
-    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    n = 1 + len(FUNCTION_WORDS)
-    counts = np.bincount(of * n + lang, minlength=len(starts) * n).reshape(-1, n)
-    counts[:, _OTHER] = 0
-    return np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), _OTHER)
+def text_langs(model: dict, texts: list[str]) -> list[str]:
+    """The language of each text, by its letters alone; the same for all where none was learned."""
+    if model["languages"] is None:
+        return ["und"] * len(texts)
+    return [x for k in range(0, len(texts), 256) for x in langid.predict(model["languages"], texts[k : k + 256])[0]]
 
 
 def _threshold(logits: np.ndarray, y: np.ndarray) -> float | None:
@@ -116,8 +104,9 @@ def _threshold(logits: np.ndarray, y: np.ndarray) -> float | None:
     return float((z[k] + z[k - 1]) / 2)
 
 
-def fit(rows: list[tuple[int, str, int]], epochs: int = 5, seed: int = 5) -> dict:
-    """Trains on three quarters of (doc_id, text, label) rows, taken in the order given; the rest sets the thresholds."""
+def fit(rows: list[tuple[int, str, int]], languages: dict | None = None, epochs: int = 5, seed: int = 5) -> dict:
+    """Trains on three quarters of (doc_id, text, label) rows, taken in the order given; the rest sets the thresholds: one
+    for each language that the model ``languages`` finds in them, and one for all others."""
     rng = np.random.default_rng(seed)
     learn = [r for i, r in enumerate(rows) if i % 4]
     seen: dict[int, int] = {}
@@ -175,25 +164,26 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = 5, seed: int = 5) -> dic
             square["e"][rows_hit] += (sums**2).mean(axis=1)
             vectors[rows_hit] -= (0.1 * sums / np.sqrt(square["e"][rows_hit])[:, None]).astype(np.float32)
             vectors[0] = 0
-    model |= {"row_of": row_of, "vectors": vectors}
+    model |= {"row_of": row_of, "vectors": vectors, "languages": languages, "cut": {}, "cut_of_others": 0.0}
     held = [r for i, r in enumerate(rows) if i % 4 == 0]
-    model["cut"] = np.zeros(1 + len(FUNCTION_WORDS))
     if held:
         words = Words(row_of, vectors)
         ids, starts = _index(words, [t for _, t, _ in held])
         logits, y = _logits(model, ids, starts, words.embedded()), np.array([r[2] for r in held])
-        langs = _text_langs(words, ids, starts)
-        overall = _threshold(logits, y) or 0.0
-        for lang in range(len(model["cut"])):
+        model["cut_of_others"] = _threshold(logits, y) or 0.0
+        langs = np.array(text_langs(model, [t for _, t, _ in held]), dtype=object)
+        for lang in sorted(set(langs)):
             own = _threshold(logits[langs == lang], y[langs == lang])
-            model["cut"][lang] = overall if own is None else own
+            if own is not None:
+                model["cut"][lang] = own
     return model
 
 
 def score_texts(model: dict, words: Words, texts: list[str]) -> np.ndarray:
     """1 / (1 + exp(cut of the text's language - logit)): 0.5 at that language's threshold."""
     ids, starts = _index(words, texts)
-    return sigmoid(_logits(model, ids, starts, words.embedded()) - model["cut"][_text_langs(words, ids, starts)])
+    cut = np.array([model["cut"].get(lang, model["cut_of_others"]) for lang in text_langs(model, texts)])
+    return sigmoid(_logits(model, ids, starts, words.embedded()) - cut)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2500, longest: int = 50_000, learn=None, keep_text: bool = True) -> DataFrame:
@@ -201,11 +191,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2500, longes
 
     Adds score (0 to 1) and predicted (1 if score >= 0.5). Trained on at most about ``most`` labelled documents of
     each class (labels: doc_id, toxic), of ``longest`` code points at most each; the condition learn limits their
-    ids. Null texts count as empty; those have a score like any text without known words. Repeated rows get equal
-    scores; clashing columns are replaced.
+    ids. Where docs has a column lang, a language model is learned from it too (of at most about LANG_DOCS documents of each
+    language that meet learn), and a text's predicted language picks its threshold; lang itself is no input of a score.
+    Null texts count as empty; those have a score like any text without known words. Texts are scored whole, one very
+    long one at a time (some 40 bytes a character). Repeated rows get equal scores; clashing columns are replaced.
     """
-    rows = labelled_texts(docs, labels, "toxic", F.lit(True) if learn is None else learn, most, 5, longest)
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows))  # bounded by the sample
+    learn = F.lit(True) if learn is None else learn
+    rows = labelled_texts(docs, labels, "toxic", learn, most, 5, longest)
+    known = langid.fit(langid.training_sample(docs, learn, LANG_DOCS, longest)) if "lang" in docs.columns else None
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, known))  # bounded by the samples
 
     def make():
         m = model.value
@@ -225,5 +219,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 2500, longes
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 5 is 0), score, predicted for every document."""
-    found = toxicity_scores(docs.select("doc_id", "text"), labels, learn=crc_mod("doc_id", 5) != 0, keep_text=False)
+    found = toxicity_scores(docs.select("doc_id", "text", "lang"), labels, learn=crc_mod("doc_id", 5) != 0, keep_text=False)
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
