@@ -13,15 +13,23 @@ LONGEST_WORD = 27
 STOP_WORDS = "a an and are as at be by for from he in is it of on or that the this to was were with".split()
 
 
-def normalise(token: Column) -> Column:
-    """A space-delimited token as a word: what stands before its first inner separator, without non-ASCII characters at
-    either end, in lower case. Within a word a byte above 127 becomes an apostrophe and swallows the next two bytes.
-    The byte-wise branch is taken by tokens that hold such bytes only."""
-    w = F.regexp_extract(token, f"^[{SEPARATORS}]*([^{SEPARATORS}]*)", 1)
-    inner = F.regexp_replace(F.regexp_replace(w, r"^[^\x00-\x7F]+", ""), r"[^\x00-\x7F]+$", "")
+# A token is what stands between spaces and line ends. Its word: what follows leading separators and non-ASCII characters,
+# up to the next separator.
+_TOKEN = f"(?=[^ \\n])[{SEPARATORS}&&[^\\n]]*+[^\\x00-\\x7F]*+([^{SEPARATORS} ]*+)[^ \\n]*+"
+
+
+def raw_words(text: Column) -> Column:
+    """The words of all tokens of a text, as an array, before their bytes above 127 and their case are seen to: one pass."""
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
+
+
+def normalise(word: Column) -> Column:
+    """A raw word without non-ASCII characters at its end, in lower case. Within a word a byte above 127 becomes an
+    apostrophe and swallows the next two bytes. The byte-wise branch is taken by words that hold such bytes only."""
+    inner = F.regexp_replace(word, r"[^\x00-\x7F]+$", "")
     as_bytes = F.decode(F.encode(inner, "UTF-8"), "ISO-8859-1")
     byte_wise = F.regexp_replace(as_bytes, r"(?s)[\x80-\xFF].{0,2}", "'")
-    return F.lower(F.when(F.octet_length(w) == F.length(w), w).otherwise(byte_wise))
+    return F.lower(F.when(F.octet_length(word) == F.length(word), word).otherwise(byte_wise))
 
 
 def bucket(word: Column) -> Column:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import LONGEST_WORD, bucket, normalise
+from lexiloom.functions.store import kept
+from lexiloom.functions.text import LONGEST_WORD, bucket, normalise, raw_words
 
 
 def tokens(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """ident, word for each word of the text; the order of words is of no matter to anything here."""
-    by_line = df.select(ident, F.explode(F.split(text, "\n")).alias("line")).where(F.octet_length("line") > 0)
-    raw = by_line.select(ident, F.explode(F.split("line", " ")).alias("token")).where("token <> ''")
-    return raw.select(ident, normalise(F.col("token")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
+    raw = df.select(ident, F.explode(raw_words(F.col(text))).alias("raw")).where("raw <> ''")
+    return raw.select(ident, normalise(F.col("raw")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
 
 
 def without(words: DataFrame, stop: DataFrame) -> DataFrame:
@@ -47,7 +47,12 @@ def ranked(df: DataFrame, order: list[Column], part: Column, name: str) -> DataF
 
 def vocabulary(terms: DataFrame) -> DataFrame:
     """word_idx (from 0), word, df (documents that hold it), occ: words from a letter a-z first, each by bytes."""
-    words = terms.groupBy("word").agg(F.count("*").alias("df"), F.sum("cnt").alias("occ"))
+    return vocabulary_of(terms.groupBy("word").agg(F.count("*").alias("df"), F.sum("cnt").alias("occ")))
+
+
+def vocabulary_of(words: DataFrame) -> DataFrame:
+    """Numbers words (word, df, occ) in vocabulary order."""
+    words = kept(words, "words")
     last = (bucket(F.col("word")) == 26).cast("int")
     part = F.concat(last.cast("string"), F.substring("word", 1, 3))
     return ranked(words, [last, F.col("word")], part, "word_idx").select(F.col("word_idx").cast("int"), "word", "df", "occ")
@@ -60,6 +65,31 @@ def doc_matrix(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return encoded.select("doc_id", slot.alias("slot"), "word_idx", "cnt")
 
 
+def fixed_vocabulary(dictionary: DataFrame, terms: DataFrame) -> DataFrame:
+    """word_idx, word, df, occ for every word of a dictionary (column word), be it in the documents or not."""
+    found = terms.groupBy("word").agg(F.count("*").alias("df"), F.sum("cnt").alias("occ"))
+    every = dictionary.select("word").distinct().join(found, "word", "left")
+    none = F.lit(0).cast("long")
+    return vocabulary_of(every.select("word", F.coalesce("df", none).alias("df"), F.coalesce("occ", none).alias("occ")))
+
+
+def probe(index: DataFrame, words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word, doc_id, slot: where the words (column word) stand, by an index of postings."""
+    wanted = vocab.join(words.select("word").distinct(), "word").select("word", "word_idx")
+    return index.join(wanted, "word_idx").select("word", F.explode("postings").alias("doc_id", "slot"))
+
+
+def index_matrix(matrix: DataFrame, blocks: DataFrame) -> DataFrame:
+    """prank, word_idx, occ, slots: each worker's index as a dense row for each of its words, one slot for each of its
+    documents in order of id, -1 where the word isn't. blocks: doc_id, proc. As wide as a worker has documents."""
+    own = blocks.groupBy("proc").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    grouped = matrix.join(blocks, "doc_id").groupBy(F.col("proc"), "word_idx").agg(
+        F.sum("cnt").alias("occ"), F.map_from_entries(F.collect_list(F.struct("doc_id", "slot"))).alias("at")
+    )
+    slots = F.transform("docs", lambda d: F.coalesce(F.try_element_at("at", d), F.lit(-1)))
+    return grouped.join(own, "proc").select(F.col("proc").alias("prank"), "word_idx", "occ", slots.alias("slots"))
+
+
 def inverted_index(matrix: DataFrame) -> DataFrame:
     """word_idx, occ, df, postings (doc_id -> slot). A word in very many documents has a long row: use matrix itself,
     partitioned by word_idx, where that matters."""

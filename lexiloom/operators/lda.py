@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.functions.store import kept
 from lexiloom.functions.text import hash_int, hash_uniform
 
 ALPHA = GAMMA = 1.0
@@ -86,88 +85,150 @@ def sweep(state: DataFrame, n_words: int, k: int, *by: str, alpha: float = ALPHA
 def _uniforms(doc, word, nth, seed: int, sweep_no: int) -> np.ndarray:
     """Uniforms that depend on nothing but what they are drawn for: a lost task draws the same again."""
     x = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x += nth.astype(np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(seed * 1_000_003 + sweep_no)
+    x += nth.astype(np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64((seed * 1_000_003 + sweep_no) % 2**64)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
     return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def _tokens_of(pdf: pd.DataFrame):
-    sizes = pdf["z"].str.len().to_numpy()
-    row = np.repeat(np.arange(len(pdf)), sizes)
-    z = np.concatenate(pdf["z"].to_numpy()).astype(np.int64)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return sizes, row, z, nth
-
-
-def _sampled(n_t: np.ndarray, k: int, n_words: int, alpha: float, gamma: float, seed: int, sweep_no: int, blocks: int | None):
-    """A partition's sweep. blocks: the partition's counts follow after each of so many parts of its tokens (None: after
-    each token, as in sequential sampling); other partitions' changes are seen after the sweep."""
-
-    def run(frames):
-        parts = list(frames)  # one partition of the state: documents that were dealt together
-        if not (pdf := pd.concat(parts) if parts else pd.DataFrame()).shape[0]:
-            return
-        pdf = pdf.sort_values(["doc_id", "word_idx"], kind="stable").reset_index(drop=True)
-        sizes, row, z, nth = _tokens_of(pdf)
-        docs, d = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
-        words, first, w = np.unique(pdf["word_idx"].to_numpy(), return_index=True, return_inverse=True)
-        n_w = np.stack(pdf["n"].iloc[first].to_numpy()).astype(np.float64)
-        d, w, total = d[row], w[row], n_t.astype(np.float64)
+class _Part:
+    """A part of the state: the rows of the documents that were dealt together, as arrays, and a topic for each token."""
+
+    def __init__(self, docs, words, cnts, z):
+        self.docs, self.words, self.cnts, self.z = docs, words, cnts, z
+        self.row = np.repeat(np.arange(len(docs)), cnts)
+        self.nth = np.arange(len(self.row)) - np.repeat(np.cumsum(cnts) - cnts, cnts)
+
+    @classmethod
+    def opened(cls, row) -> _Part:
+        kinds = (("docs", np.int64), ("words", np.int32), ("cnts", np.int32), ("zs", np.int16))
+        return cls(*(np.frombuffer(getattr(row, c), kind).copy() for c, kind in kinds))
+
+    def written(self, part: int, k: int) -> pd.DataFrame:
+        """The part as one row, and its topic counts as a row for each word."""
+        own = {"part": [part], "docs": [self.docs.tobytes()], "words": [self.words.tobytes()], "cnts": [self.cnts.tobytes()], "zs": [self.z.astype(np.int16).tobytes()]}
+        words, w = np.unique(self.words, return_inverse=True)
+        n = np.bincount(w[self.row] * k + self.z, minlength=len(words) * k).reshape(-1, k)
+        counts = {"part": part, "word_idx": words} | {f"n{t}": n[:, t] for t in range(k)}
+        empty = {"word_idx": -1} | {f"n{t}": 0 for t in range(k)}
+        return pd.concat([pd.DataFrame(own).assign(**empty), pd.DataFrame(counts).assign(docs=None, words=None, cnts=None, zs=None)])
+
+    def swept(self, words, n_w, n_t, k, n_words, alpha, gamma, u, step: int, of=None) -> None:
+        """Draws new topics, ``step`` tokens at a time, against the counts n_w of words and n_t of all tokens, which follow
+        after each step; of: the tokens to draw (None: all), in order of documents or, if given, as given."""
+        docs, d = np.unique(self.docs, return_inverse=True)
+        w, z = np.searchsorted(words, self.words)[self.row], self.z
+        d, n_w, total = d[self.row], n_w.astype(np.float64), n_t.astype(np.float64)
         n_d = np.bincount(d * k + z, minlength=len(docs) * k).reshape(-1, k).astype(np.float64)
-        u = _uniforms(pdf["doc_id"].to_numpy()[row], pdf["word_idx"].to_numpy()[row], nth, seed, sweep_no)
-        step = 1 if blocks is None else max(1, -(-len(z) // blocks))
-        for at in range(0, len(z), step):
-            s = slice(at, at + step)
-            own = np.zeros((len(z[s]), k))
-            own[np.arange(len(own)), z[s]] = 1
-            p = (n_d[d[s]] - own + alpha) * (n_w[w[s]] - own + gamma) / (total - own + n_words * gamma)
-            c = np.cumsum(np.maximum(p, 0), axis=1)
+        of = np.arange(len(z)) if of is None else of
+        for at in range(0, len(of), step):
+            s = of[at : at + step]
+            old, dd, ww, line = z[s], d[s], w[s], np.arange(len(s))
+            own_d, own_w, own_t = n_d[dd], n_w[ww], np.broadcast_to(total, (len(s), k)).copy()
+            for counts in (own_d, own_w, own_t):
+                counts[line, old] -= 1
+            c = np.cumsum(np.maximum((own_d + alpha) * (own_w + gamma) / (own_t + n_words * gamma), 0), axis=1)
             new = np.minimum((c < (u[s] * c[:, -1])[:, None]).sum(axis=1), k - 1)
-            np.add.at(n_d, (d[s], z[s]), -1)
-            np.add.at(n_d, (d[s], new), 1)
-            np.add.at(n_w, (w[s], z[s]), -1)
-            np.add.at(n_w, (w[s], new), 1)
-            total += np.bincount(new, minlength=k) - np.bincount(z[s], minlength=k)
+            for counts, at_row in ((n_d, dd), (n_w, ww)):
+                if len(s) == 1:
+                    counts[at_row[0], old[0]] -= 1
+                    counts[at_row[0], new[0]] += 1
+                else:
+                    counts += (np.bincount(at_row * k + new, minlength=counts.size) - np.bincount(at_row * k + old, minlength=counts.size)).reshape(counts.shape)
+            total += np.bincount(new, minlength=k) - np.bincount(old, minlength=k)
             z[s] = new
-        yield pdf[["doc_id", "word_idx", "cnt"]].assign(z=np.split(z.astype(np.int32), np.cumsum(sizes)[:-1]))
-
-    return run
 
 
-def _kept(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cuts the lineage: a written table in the shared folder, or a checkpoint where none is named."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lda-"))
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/lda-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bundle_round(words: np.ndarray, part: int, n_parts: int, rounds: int) -> np.ndarray:
+    """In which of a sweep's rounds a worker draws each word. Words go in bundles by a hash, the same for all workers; a
+    worker starts at its own place in the circle of bundles, so that at any time few workers draw the same words."""
+    bundle = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % rounds
+    return (bundle - part * rounds // n_parts) % rounds
 
 
 def fit(
     matrix: DataFrame, n_words: int, k: int = 10, iterations: int = 100, seed: int = 1, mode: str = "block", parts: int | None = None,
-    blocks: int = 20, alpha: float = ALPHA, gamma: float = GAMMA,
+    blocks: int = 20, alpha: float = ALPHA, gamma: float = GAMMA, rounds: int = 4,
 ) -> DataFrame:
     """The state (doc_id, word_idx, cnt, z) after so many sweeps from random topics.
 
-    mode "serial": one partition, one token after the other. "ad": partitions side by side, each one token after the
-    other against the counts at the sweep's start. "block": likewise, but a partition's tokens in blocks at once, in
-    vectors. Documents are dealt out by id once; each sweep is one job, whose counts of words come to their rows by a
-    join on word_idx and go back as partial sums.
+    mode "serial": one part, one token after the other. "ad": parts side by side, each one token after the other against
+    the counts at the sweep's start. "block": likewise, but a part's tokens in ``blocks`` steps, in vectors. "bundles":
+    model-parallel sampling. A sweep has ``rounds`` rounds; in each a part draws the tokens of one bundle of words, word
+    by word, against counts of these words fetched for the round, and its changes are merged before the next round. Parts
+    start at different bundles of the circle, so counts are stale by a round at most and mostly not at all.
+
+    Documents are dealt out by id once, and a part is one row of arrays: some 14 bytes a token. Each round is one job. It
+    writes the parts and, for each part and word, the word's counts; their sums by word come back to the parts by joins,
+    so nothing of the vocabulary's size is gathered anywhere. Only the k totals go through the driver.
     """
+    if mode not in ("serial", "ad", "block", "bundles"):
+        raise ValueError(f"no such mode: {mode}")
+    if not 1 <= k < 2**15 or iterations < 0 or rounds < 1:
+        raise ValueError("k must be 1 to 32,767, iterations 0 or more, rounds 1 or more")
     spark = matrix.sparkSession
     n_parts = 1 if mode == "serial" else parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = _kept(initial_topics(matrix.select("doc_id", "word_idx", F.col("cnt").cast("long")), k, "doc_id", "word_idx").withColumn("z", F.col("z").cast("array<int>")), spark)
-    for t in range(iterations):
-        n_t = np.array(topic_counts(state, None, k).first()[0] or [0] * k)
-        rows = state.join(topic_counts(state, "word_idx", k), "word_idx").repartition(n_parts, "doc_id")
-        run = _sampled(n_t, k, n_words, alpha, gamma, seed, t, None if mode in ("serial", "ad") else blocks)
-        state = _kept(rows.mapInPandas(run, "doc_id long, word_idx int, cnt long, z array<int>"), spark)
-    return state
+    names = [f"n{t}" for t in range(k)]
+    fields = "part int, docs binary, words binary, cnts binary, zs binary, word_idx int, " + ", ".join(f"{c} long" for c in names)
+
+    def begin(key, pdf):
+        pdf = pdf.sort_values(["doc_id", "word_idx"], kind="stable")
+        own = _Part(pdf["doc_id"].to_numpy(np.int64), pdf["word_idx"].to_numpy(np.int32), pdf["cnt"].to_numpy(np.int32), None)
+        own.z = (_uniforms(own.docs[own.row], own.words[own.row], own.nth, seed, -1) * k).astype(np.int64)
+        return own.written(int(key[0]), k)[fields_of]
+
+    fields_of = [f.split()[0] for f in fields.split(", ")]
+    dealt = matrix.select("doc_id", "word_idx", F.col("cnt").cast("int").alias("cnt"), F.pmod(F.hash("doc_id"), F.lit(n_parts)).alias("part"))
+    written = kept(dealt.groupBy("part").applyInPandas(begin, fields), "lda")
+
+    def drawn(n_t: np.ndarray, sweep_no: int, r: int):
+        def run(key, state, asked):
+            if not len(state):
+                return pd.DataFrame(columns=fields_of)
+            part, own = int(key[0]), _Part.opened(next(state.itertuples(index=False)))
+            own.z = own.z.astype(np.int64)
+            asked = asked.sort_values("word_idx")
+            words, n_w = asked["word_idx"].to_numpy(), asked[names].to_numpy()
+            u = _uniforms(own.docs[own.row], own.words[own.row], own.nth, seed, sweep_no)
+            n, of = len(own.z), None
+            step = 1 if mode in ("serial", "ad") else max(1, -(-n // blocks))
+            if mode == "bundles":
+                at = np.flatnonzero(bundle_round(own.words, part, n_parts, rounds)[own.row] == r)
+                of = at[np.argsort(own.words[own.row[at]], kind="stable")]  # word by word, and its documents in turn
+                step = max(1, -(-n // (blocks * rounds)))
+            own.swept(words, n_w, n_t, k, n_words, alpha, gamma, u, step, of)
+            return own.written(part, k)[fields_of]
+
+        return run
+
+    for sweep_no in range(iterations):
+        for r in range(rounds if mode == "bundles" else 1):
+            counts = written.where("word_idx >= 0")
+            totals = counts.groupBy("word_idx").agg(*(F.sum(c).alias(c) for c in names))
+            found = counts.agg(*(F.sum(c) for c in names)).first()
+            n_t = np.array([x or 0 for x in found], dtype=np.int64)
+            asked = counts.select(F.col("part").alias("at"), "word_idx").join(totals, "word_idx")
+
+            state = written.where("word_idx < 0").select("part", "docs", "words", "cnts", "zs")
+            written = kept(state.groupBy("part").cogroup(asked.groupBy("at")).applyInPandas(drawn(n_t, sweep_no, r), fields), "lda")
+
+    def unpack(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                own = _Part.opened(row)
+                z = np.split(own.z.astype(np.int32), np.cumsum(own.cnts)[:-1])
+                for at in range(0, len(own.docs), 20_000):
+                    s = slice(at, at + 20_000)
+                    yield pd.DataFrame({"doc_id": own.docs[s], "word_idx": own.words[s], "cnt": own.cnts[s].astype(np.int64), "z": z[s]})
+
+    return written.where("word_idx < 0").select("docs", "words", "cnts", "zs").mapInPandas(unpack, "doc_id long, word_idx int, cnt long, z array<int>")
+
+
+def zero_counters(vocab: DataFrame, k: int) -> DataFrame:
+    """word_idx, k, n = 0 for every word and topic: counters before anything is counted."""
+    return vocab.select("word_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")).withColumn("n", F.lit(0).cast("long"))
+
+
+def condensed_counts(state: DataFrame, placement: DataFrame) -> DataFrame:
+    """pw, row_in_pw, k, n: each word worker's counts by the word's row in its own matrix, without zeros."""
+    return long_counts(state, "word_idx").join(placement.select("word_idx", "pw", "row_in_pw"), "word_idx").select("pw", "row_in_pw", "k", "n")

@@ -97,6 +97,29 @@ def svd(a: DataFrame, tolerance: float = 1e-9) -> tuple[DataFrame, np.ndarray, n
     return multiply(a, spark.createDataFrame(cells, "i int, j int, v double")), sigma, v
 
 
+def eigen_pairs(symmetric: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Eigenvalues (k, value), largest first, and eigenvectors as columns (i, j, v) of a symmetric n x n matrix."""
+    if n < 2:
+        raise ValueError("two rows at least")
+    values, vectors = eigen(small(symmetric, n, n))
+    spark = symmetric.sparkSession
+    cells = [(i, j, float(vectors[i, j])) for i in range(n) for j in range(n)]
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "k int, value double"), spark.createDataFrame(cells, "i int, j int, v double")
+
+
+def eigenvalues_agree(a: DataFrame, n: int, m: int, most: float = 1e-6) -> DataFrame:
+    """k, agree: whether the k-th eigenvalues of A A' and A' A are the same, for the min(n, m) they have in common."""
+    left, right = (eigen(small(g, d, d))[0] for g, d in ((gram_rows(a), n), (gram_columns(a), m)))
+    pairs = [(k, bool(abs(x - y) <= most * max(1.0, abs(x)))) for k, (x, y) in enumerate(zip(left, right, strict=False))]
+    return a.sparkSession.createDataFrame(pairs, "k int, agree boolean")
+
+
+def lines(a: DataFrame) -> DataFrame:
+    """i, line: each row's numbers in order, with six digits."""
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: F.format_string("%.6f", c["v"]))
+    return a.groupBy("i").agg(F.array_join(cells, " ").alias("line"))
+
+
 def singular_values(a: DataFrame) -> DataFrame:
     """k (from 0) and sigma, largest first."""
     _, sigma, _ = svd(a)

@@ -30,3 +30,9 @@ def top_words(scored: DataFrame, x: int = 10) -> DataFrame:
     last = (bucket(F.col("word")) == 26).cast("int")
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("tfidf"), last, "word"))
     return scored.where("tfidf > 0").withColumn("rank", rank).where(F.col("rank") <= x).select("doc_id", "rank", "word", "tfidf")
+
+
+def dump(scored: DataFrame) -> DataFrame:
+    """doc_id, bucket, word, cnt, tf, idf, tfidf in order of documents, buckets and words."""
+    last = bucket(F.col("word")).cast("int")
+    return scored.select("doc_id", last.alias("bucket"), "word", "cnt", "tf", "idf", "tfidf").orderBy("doc_id", "bucket", "word")

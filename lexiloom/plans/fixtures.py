@@ -20,3 +20,6 @@ DOCUMENTS = {
     **{-10 - k: _licence(k, " ", True) for k in range(len(LICENCE_FORMS))},
     **{-20 - k: _licence(k, " ", False) for k in range(len(LICENCE_FORMS))},
 }
+
+# A stop list as a file would hold it: its second and third lines say that lines 5 to 9, the last one not included, count.
+STOP_FILE = {1: "a stop list\n5\n9\n\nthe\nand of\nto\nder\nnot-read\nla\n"}

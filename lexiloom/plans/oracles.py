@@ -25,12 +25,12 @@ def words(name: str, source: str, ident: str, text: str = "text") -> str:
 
 
 TOK = words("tok", "documents", "doc_id")
-TERMS = TOK + ",\nterms AS (SELECT doc_id, word, count(*) AS cnt FROM tok GROUP BY ALL)"
+TERMS = TOK + ",\nterms AS MATERIALIZED (SELECT doc_id, word, count(*) AS cnt FROM tok GROUP BY ALL)"
 LAST = "CASE WHEN word >= 'a' AND word < '{' THEN 0 ELSE 1 END"
 VOCAB = (
     TERMS
     + f""",
-vocab AS (SELECT CAST(row_number() OVER (ORDER BY {LAST}, word) - 1 AS INT) AS word_idx, word, df, occ
+vocab AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY {LAST}, word) - 1 AS INT) AS word_idx, word, df, occ
           FROM (SELECT word, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS occ FROM terms GROUP BY word))"""
 )
 IDF = "ln(CAST((SELECT count(*) FROM documents) // df AS DOUBLE))"
@@ -43,6 +43,11 @@ scored AS (SELECT doc_id, word, cnt, tf, df, idf, tf * idf AS tfidf FROM tf JOIN
 )
 
 
+DICTIONARY = words("dict", "benchmark", "item_id") + ",\nlisted AS MATERIALIZED (SELECT DISTINCT word FROM dict)"
+FIXED_VOCAB = f"""fixed AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY {LAST}, word) - 1 AS INT) AS word_idx, word, df, occ
+  FROM (SELECT l.word, count(t.doc_id) AS df, CAST(coalesce(sum(t.cnt), 0) AS BIGINT) AS occ FROM listed l LEFT JOIN terms t USING (word) GROUP BY l.word))"""
+
+
 def blocks(p: int) -> str:
     return f"blocks AS (SELECT doc_id, CAST(ntile({p}) OVER (ORDER BY doc_id) - 1 AS INT) AS proc FROM documents)"
 
@@ -56,7 +61,7 @@ SPREAD = (
     + ",\n"
     + blocks(4)
     + """,
-spread AS (SELECT word_idx, CAST(count(DISTINCT proc) AS INT) AS spread FROM terms JOIN vocab USING (word) JOIN blocks USING (doc_id) GROUP BY word_idx)"""
+spread AS MATERIALIZED (SELECT word_idx, CAST(count(DISTINCT proc) AS INT) AS spread FROM terms JOIN vocab USING (word) JOIN blocks USING (doc_id) GROUP BY word_idx)"""
 )
 PLACED = (
     SPREAD
@@ -64,19 +69,28 @@ PLACED = (
 size AS (SELECT greatest(1, count(*) // 4) AS c, count(*) AS n FROM vocab),
 placed0 AS (SELECT word_idx, chunk, row_number() OVER (PARTITION BY chunk ORDER BY spread DESC, word_idx) - 1 AS nth
             FROM (SELECT word_idx, spread, CAST(least(word_idx // c, 3) AS INT) AS chunk FROM spread, size)),
-placed AS (SELECT word_idx, chunk, pw, CAST(row_number() OVER (PARTITION BY pw ORDER BY chunk, nth) - 1 AS INT) AS row_in_pw
+placed AS MATERIALIZED (SELECT word_idx, chunk, pw, CAST(row_number() OVER (PARTITION BY pw ORDER BY chunk, nth) - 1 AS INT) AS row_in_pw
            FROM (SELECT *, CAST((chunk + nth) % 3 AS INT) AS pw FROM placed0))"""
 )
+LOCAL = """
+occ AS MATERIALIZED (SELECT proc AS prank, word_idx, CAST(sum(cnt) AS BIGINT) AS occ FROM terms JOIN vocab USING (word) JOIN blocks USING (doc_id) GROUP BY ALL)"""
+# Each owner's words in order of local occurrences: the k-th bundle begins with the k-th from the end and goes on with the
+# k-th run of 7 from the front, as far as the words that begin no bundle go.
 BUNDLES = (
     PLACED
+    + ","
+    + LOCAL
     + """,
-own AS (SELECT word_idx, pw, row_number() OVER (PARTITION BY pw ORDER BY occ, word_idx) AS ra, count(*) OVER (PARTITION BY pw) AS n
-        FROM placed JOIN vocab USING (word_idx)),
-raw AS (SELECT word_idx, pw, CASE WHEN n - ra + 1 <= nb THEN n - ra ELSE (ra - 1) // 7 END AS raw,
-               CAST(CASE WHEN n - ra + 1 <= nb THEN 0 ELSE 1 + (ra - 1) % 7 END AS INT) AS slot
-        FROM (SELECT *, (n + 7) // 8 AS nb FROM own)),
-heads AS (SELECT pw, raw, row_number() OVER (PARTITION BY pw ORDER BY word_idx) - 1 AS bundle FROM raw WHERE slot = 0),
-bundles AS (SELECT r.word_idx, r.pw, CAST(h.bundle AS INT) AS bundle, r.slot FROM raw r JOIN heads h ON r.pw = h.pw AND r.raw = h.raw)"""
+own AS MATERIALIZED (SELECT prank, word_idx, pw, row_number() OVER (PARTITION BY prank, pw ORDER BY occ, word_idx) AS up,
+               row_number() OVER (PARTITION BY prank, pw ORDER BY occ DESC, word_idx DESC) AS down FROM occ JOIN placed USING (word_idx)),
+many AS (SELECT prank, pw, (count(*) + 7) // 8 AS bundles FROM own GROUP BY ALL),
+heads AS MATERIALIZED (SELECT prank, pw, down AS k, word_idx, row_number() OVER (PARTITION BY prank ORDER BY word_idx) - 1 AS bundle
+          FROM own JOIN many USING (prank, pw) WHERE down <= bundles),
+tails AS (SELECT prank, pw, word_idx, (up + 6) // 7 AS k, (up - 1) % 7 + 1 AS slot FROM own JOIN many USING (prank, pw) WHERE down > bundles),
+bundles AS (SELECT prank, CAST(bundle AS INT) AS bundle, 0 AS slot, word_idx, pw FROM heads
+            UNION ALL
+            SELECT h.prank, CAST(h.bundle AS INT), CAST(r.slot AS INT), coalesce(t.word_idx, -1), h.pw
+            FROM heads h CROSS JOIN range(1, 8) r(slot) LEFT JOIN tails t ON t.prank = h.prank AND t.pw = h.pw AND t.k = h.k AND t.slot = r.slot)"""
 )
 STATE = (
     VOCAB
@@ -102,9 +116,10 @@ p AS (SELECT z.doc_id, z.word, z.i, [{", ".join(
         f"(nd[{t + 1}] - CAST(k = {t} AS INT) + 1.0::DOUBLE) * (nw[{t + 1}] - CAST(k = {t} AS INT) + 1.0::DOUBLE)"
         f" / (nt[{t + 1}] - CAST(k = {t} AS INT) + CAST((SELECT count(*) FROM vocab) AS DOUBLE))" for t in range(K))}] AS p
       FROM z JOIN nd USING (doc_id) JOIN nw USING (word), nt),
-c AS (SELECT doc_id, [{", ".join("(" + " + ".join(f"p[{s + 1}]" for s in range(t + 1)) + ")" for t in range(K))}] AS c,
+c AS (SELECT doc_id, word, [{", ".join("(" + " + ".join(f"p[{s + 1}]" for s in range(t + 1)) + ")" for t in range(K))}] AS c,
              CAST(CAST('0x' || substr(md5(concat_ws('|', doc_id, word, i, '1')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM p),
-drawn AS (SELECT doc_id, CAST(least({K - 1}, len(list_filter(c, lambda x: x < u * c[{K}]))) AS INT) AS k FROM c)"""
+drawn AS (SELECT doc_id, CAST(least({K - 1}, len(list_filter(c, lambda x: x < u * c[{K}]))) AS INT) AS k FROM c),
+drawn_words AS (SELECT word, CAST(least({K - 1}, len(list_filter(c, lambda x: x < u * c[{K}]))) AS INT) AS k FROM c)"""
 )
 
 
@@ -219,8 +234,47 @@ SELECT word_idx, CAST(sum(cnt) AS BIGINT) AS occ, count(*) AS df, min(doc_id) AS
     "word_spread": f"WITH {SPREAD} SELECT * FROM spread",
     "word_placement": f"WITH {PLACED} SELECT * FROM placed",
     "word_bundles": f"WITH {BUNDLES} SELECT * FROM bundles",
-    "queue_start": f"""WITH {BUNDLES} SELECT CAST(prank AS INT) AS prank, pw,
-CAST(coalesce(min(bundle) FILTER (word_idx >= prank * (n // 4)), max(bundle)) AS INT) AS bundle FROM bundles, size, range(4) r(prank) WHERE slot = 0 GROUP BY prank, pw""",
+    "queue_start": f"""WITH {BUNDLES}, circle AS (SELECT prank, bundle, word_idx, max(bundle) OVER (PARTITION BY prank) AS last FROM heads)
+SELECT prank, CAST(min(CASE WHEN word_idx >= prank * (n // 4) OR bundle = last THEN bundle END) AS INT) AS bundle FROM circle, size GROUP BY prank""",
+    "local_occ": f"WITH {SPREAD}, {LOCAL} SELECT * FROM occ",
+    "occ_matrix": f"WITH {PLACED}, {LOCAL} SELECT prank, word_idx, occ, pw FROM occ JOIN placed USING (word_idx)",
+    "condensed_counts": f"WITH {PLACED}, {STATE[len(VOCAB) + 2 :]} SELECT pw, row_in_pw, k, count(*) AS n FROM z JOIN vocab USING (word) JOIN placed USING (word_idx) GROUP BY ALL",
+    "workers_used": "SELECT CAST(p AS INT) AS p, CAST(least(p, (SELECT count(*) FROM documents)) AS INT) AS used FROM (SELECT unnest([1, 7, 100, 999, 1000, 1001, 1000000]) AS p)",
+    "lda_sweep_topwords": f"""WITH {SWEEP}, nwk AS (SELECT word, k, count(*) AS n FROM drawn_words GROUP BY ALL),
+grid AS (SELECT v.word_idx, v.word, g.k, coalesce(nwk.n, 0) AS n
+         FROM vocab v CROSS JOIN (SELECT CAST(unnest(range({K})) AS INT) AS k) g LEFT JOIN nwk ON nwk.word = v.word AND nwk.k = g.k),
+phis AS (SELECT word_idx, word, k, n, round((n + 1.0::DOUBLE) / CAST(sum(n) OVER (PARTITION BY k) + count(*) OVER (PARTITION BY k) AS DOUBLE), 12) AS phi FROM grid),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY phi DESC, word_idx) AS INT) AS rank FROM phis)
+SELECT k + 1 AS topic, rank, word, word_idx, n FROM r WHERE rank <= 10 AND k IN (SELECT k FROM r WHERE rank = 1 AND n > 3)""",
+    "lda_bundles_mass_word": f"WITH {TERMS} SELECT word, CAST(sum(cnt) AS BIGINT) AS n FROM terms GROUP BY word",
+    "lda_bundles_mass_doc": f"WITH {TERMS} SELECT doc_id, CAST(sum(cnt) AS BIGINT) AS n FROM terms GROUP BY doc_id",
+    "lda_serial_mass": "WITH " + words("tok", "benchmark", "item_id") + " SELECT item_id AS doc_id, count(*) AS n FROM tok GROUP BY ALL",
+    "zero_counters": f"WITH {VOCAB} SELECT word_idx, k, CAST(0 AS BIGINT) AS n FROM vocab, (SELECT CAST(unnest(range({K})) AS INT) AS k)",
+    "slice_terms": "WITH " + words("tok", "(SELECT * FROM documents ORDER BY doc_id LIMIT 20 OFFSET 10)", "doc_id") + " SELECT doc_id, word, count(*) AS cnt FROM tok GROUP BY ALL",
+    "slice_terms_dict": f"""WITH {words("tok", "(SELECT * FROM documents ORDER BY doc_id LIMIT 20 OFFSET 10)", "doc_id")}, {DICTIONARY}
+SELECT doc_id, word, count(*) AS cnt FROM tok WHERE word IN (SELECT word FROM listed) GROUP BY ALL""",
+    "stop_file_terms": f"WITH {TERMS} SELECT * FROM terms WHERE word NOT IN ('the', 'and', 'of', 'to', 'der')",
+    "fixed_vocab": f"WITH {TERMS}, {DICTIONARY}, {FIXED_VOCAB} SELECT * FROM fixed",
+    "dict_matrix": f"""WITH {TERMS}, {DICTIONARY}, {FIXED_VOCAB}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY word_idx) - 1 AS INT) AS slot, word_idx, cnt FROM terms JOIN fixed USING (word)""",
+    "ingest_modes": f"""WITH {TERMS}, {DICTIONARY}, every AS (SELECT count(DISTINCT word) AS n_words, CAST(sum(cnt) AS BIGINT) AS n_tokens FROM terms)
+SELECT 'serial' AS mode, * FROM every UNION ALL SELECT 'parallel', * FROM every
+UNION ALL SELECT 'dictionary', (SELECT count(*) FROM listed), (SELECT CAST(sum(cnt) AS BIGINT) FROM terms WHERE word IN (SELECT word FROM listed))""",
+    "index_probe": f"""WITH {VOCAB}, {DICTIONARY}, m AS (SELECT doc_id, word, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY word_idx) - 1 AS INT) AS slot FROM terms JOIN vocab USING (word))
+SELECT word, doc_id, slot FROM m WHERE word IN (SELECT word FROM listed)""",
+    "index_matrix": f"""WITH {VOCAB}, {blocks(40)},
+m AS MATERIALIZED (SELECT proc, doc_id, word_idx, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY word_idx) - 1 AS slot FROM terms JOIN vocab USING (word) JOIN blocks USING (doc_id)),
+w AS (SELECT proc, word_idx, CAST(sum(cnt) AS BIGINT) AS occ FROM m GROUP BY ALL)
+SELECT w.proc AS prank, w.word_idx, any_value(w.occ) AS occ, string_agg(CAST(coalesce(m.slot, -1) AS VARCHAR), ',' ORDER BY b.doc_id) AS slots
+FROM w JOIN blocks b ON b.proc = w.proc LEFT JOIN m ON m.doc_id = b.doc_id AND m.word_idx = w.word_idx GROUP BY w.proc, w.word_idx""",
+    "full_dump": f"""WITH {TFIDF} SELECT doc_id, CAST(CASE WHEN {LAST} = 0 THEN ascii(word) - 97 ELSE 26 END AS INT) AS bucket, word, cnt,
+round(tf, 9) AS tf, round(idf, 9) AS idf, round(tfidf, 9) AS tfidf FROM scored""",
+    "svd_rebuild": f"WITH {CELLS} SELECT i, j, round(v, 5) + 0.0 AS v FROM cells",
+    "svd_u_gram": "SELECT CAST(a AS INT) AS i, CAST(b AS INT) AS j, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(64) x(a), range(64) y(b)",
+    "eigen_rebuild": f"WITH {CELLS} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 4) + 0.0 AS v FROM cells a JOIN cells b ON a.i = b.i GROUP BY ALL",
+    "eigen_order": f"WITH {CELLS} SELECT CAST(0 AS BIGINT) AS out_of_order, round(sum(v * v), 4) AS trace FROM cells",
+    "eigen_agree": "SELECT CAST(k AS INT) AS k, true AS agree FROM range(25) r(k)",
+    "mat_lines": "SELECT CAST(i AS INT) AS i, string_agg(printf('%.6f', (i * 7 + j * 3 - 9) / 4.0::DOUBLE), ' ' ORDER BY j) AS line FROM range(6) a(i), range(5) b(j) GROUP BY i",
     "lda_init_ndk": f"WITH {STATE} SELECT doc_id, k, count(*) AS n FROM z GROUP BY ALL",
     "lda_init_nwk": f"WITH {STATE} SELECT word, k, count(*) AS n FROM z GROUP BY ALL",
     "lda_init_nk": f"WITH {STATE} SELECT k, count(*) AS n FROM z GROUP BY ALL",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.functions.store import kept
 from lexiloom.functions.text import STOP_WORDS, bucket
 from lexiloom.operators import bow, lda, layout, linalg, tfidf
 from lexiloom.plans import report
-from lexiloom.plans.fixtures import DOCUMENTS
+from lexiloom.plans.fixtures import DOCUMENTS, STOP_FILE
 from lexiloom.sources import corpus
 
 WORKERS, WORD_WORKERS, BUNDLE, TOPICS = 4, 3, 8, 10
@@ -28,14 +30,24 @@ def _terms(spark, sf_dir) -> DataFrame:
     return bow.doc_terms(_words(spark, sf_dir))
 
 
+def _kept_terms(spark, sf_dir) -> DataFrame:
+    """Counted once and written, for queries that use them more than once."""
+    return kept(_terms(spark, sf_dir), "terms")
+
+
 def _n_docs(spark, sf_dir) -> int:
     return _table(spark, sf_dir, "documents").count()
 
 
 def _matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    terms = _terms(spark, sf_dir)
-    vocab = bow.vocabulary(terms)
-    return terms.join(vocab.select("word", "word_idx"), "word").select("doc_id", "word", "word_idx", "cnt"), vocab
+    terms = _kept_terms(spark, sf_dir)
+    vocab = kept(bow.vocabulary(terms), "vocab")
+    return kept(terms.join(vocab.select("word", "word_idx"), "word").select("doc_id", "word", "word_idx", "cnt"), "matrix"), vocab
+
+
+def _slots(matrix: DataFrame) -> DataFrame:
+    """The matrix with each word's slot in its document."""
+    return matrix.withColumn("slot", F.row_number().over(W.partitionBy("doc_id").orderBy("word_idx")) - 1).select("doc_id", "slot", "word_idx", "cnt")
 
 
 def tokens_by_lang(spark, sf_dir):
@@ -68,30 +80,30 @@ def first_docs_terms(spark, sf_dir):
 
 
 def tf(spark, sf_dir):
-    return tfidf.term_frequencies(_terms(spark, sf_dir)).select("doc_id", "word", F.round("tf", 9).alias("tf"))
+    return tfidf.term_frequencies(_kept_terms(spark, sf_dir)).select("doc_id", "word", F.round("tf", 9).alias("tf"))
 
 
 def df_idf(spark, sf_dir):
-    out = tfidf.inverse_frequencies(_terms(spark, sf_dir), _n_docs(spark, sf_dir))
+    out = tfidf.inverse_frequencies(_kept_terms(spark, sf_dir), _n_docs(spark, sf_dir))
     return out.select("word", "df", F.round("idf", 9).alias("idf"))
 
 
 def tfidf_all(spark, sf_dir):
-    out = tfidf.tfidf(_terms(spark, sf_dir), _n_docs(spark, sf_dir))
+    out = tfidf.tfidf(_kept_terms(spark, sf_dir), _n_docs(spark, sf_dir))
     return out.select("doc_id", "word", "cnt", "df", F.round("tfidf", 9).alias("tfidf"))
 
 
 def tfidf_top10(spark, sf_dir):
-    scored = tfidf.tfidf(_terms(spark, sf_dir), _n_docs(spark, sf_dir)).withColumn("tfidf", F.round("tfidf", 10))
+    scored = tfidf.tfidf(_kept_terms(spark, sf_dir), _n_docs(spark, sf_dir)).withColumn("tfidf", F.round("tfidf", 10))
     return tfidf.top_words(scored, 10)
 
 
 def vocab_index(spark, sf_dir):
-    return bow.vocabulary(_terms(spark, sf_dir))
+    return bow.vocabulary(_kept_terms(spark, sf_dir))
 
 
 def doc_matrix(spark, sf_dir):
-    terms = _terms(spark, sf_dir)
+    terms = _kept_terms(spark, sf_dir)
     return bow.doc_matrix(terms, bow.vocabulary(terms))
 
 
@@ -106,7 +118,7 @@ def vocab_union(spark, sf_dir):
 
 
 def inverted_index(spark, sf_dir):
-    terms = _terms(spark, sf_dir)
+    terms = _kept_terms(spark, sf_dir)
     index = bow.inverted_index(bow.doc_matrix(terms, bow.vocabulary(terms)))
     docs = F.map_keys("postings")
     return index.select(
@@ -134,9 +146,15 @@ def role_split(spark, sf_dir):
 
 
 def _spread(spark, sf_dir):
+    """Words' spread, the matrix, the vocabulary, its size and the documents' blocks, each written once."""
     matrix, vocab = _matrix(spark, sf_dir)
-    blocks = layout.doc_blocks(_table(spark, sf_dir, "documents"), WORKERS)
-    return layout.word_spread(matrix, blocks), vocab
+    blocks = kept(layout.doc_blocks(_table(spark, sf_dir, "documents"), WORKERS), "blocks")
+    return layout.word_spread(matrix, blocks), matrix, vocab, vocab.count(), blocks
+
+
+def _placed(spark, sf_dir):
+    spread, matrix, vocab, n, blocks = _spread(spark, sf_dir)
+    return kept(layout.word_placement(kept(spread, "spread"), n, WORKERS, WORD_WORKERS), "placement"), matrix, n, blocks
 
 
 def word_spread(spark, sf_dir):
@@ -144,25 +162,46 @@ def word_spread(spark, sf_dir):
 
 
 def word_placement(spark, sf_dir):
-    spread, vocab = _spread(spark, sf_dir)
-    return layout.word_placement(spread, vocab.count(), WORKERS, WORD_WORKERS)
+    return _placed(spark, sf_dir)[0]
+
+
+def local_occ(spark, sf_dir):
+    _, matrix, _, _, blocks = _spread(spark, sf_dir)
+    return layout.local_occurrences(matrix, blocks)
+
+
+def _occurrences(spark, sf_dir):
+    placement, matrix, n, blocks = _placed(spark, sf_dir)
+    return layout.occurrence_matrix(layout.local_occurrences(matrix, blocks), placement), n
+
+
+def occ_matrix(spark, sf_dir):
+    return _occurrences(spark, sf_dir)[0]
 
 
 def word_bundles(spark, sf_dir):
-    spread, vocab = _spread(spark, sf_dir)
-    return layout.word_bundles(layout.word_placement(spread, vocab.count(), WORKERS, WORD_WORKERS), vocab.select("word_idx", "occ"), BUNDLE)
+    return layout.word_bundles(_occurrences(spark, sf_dir)[0], BUNDLE)
 
 
 def queue_start(spark, sf_dir):
-    spread, vocab = _spread(spark, sf_dir)
-    n = vocab.count()
-    bundles = layout.word_bundles(layout.word_placement(spread, n, WORKERS, WORD_WORKERS), vocab.select("word_idx", "occ"), BUNDLE)
-    return layout.queue_start(bundles, n, WORKERS)
+    occurrences, n = _occurrences(spark, sf_dir)
+    return layout.queue_start(layout.word_bundles(occurrences, BUNDLE), n, WORKERS)
+
+
+def condensed_counts(spark, sf_dir):
+    """Initial topic counts by the words' rows in their workers' matrices."""
+    placement, matrix, _, _ = _placed(spark, sf_dir)
+    return lda.condensed_counts(lda.initial_topics(matrix, TOPICS, "doc_id", "word"), placement)
+
+
+def workers_used(spark, sf_dir):
+    n = _n_docs(spark, sf_dir)
+    return spark.createDataFrame([(p, layout.workers_used(p, n)) for p in (1, 7, 100, 999, 1000, 1001, 10**6)], "p int, used int")
 
 
 def _initial(spark, sf_dir):
     matrix, vocab = _matrix(spark, sf_dir)
-    return lda.initial_topics(matrix, TOPICS, "doc_id", "word"), vocab
+    return kept(lda.initial_topics(matrix, TOPICS, "doc_id", "word"), "topics"), vocab
 
 
 def lda_init_ndk(spark, sf_dir):
@@ -194,29 +233,126 @@ def lda_sync_sweep(spark, sf_dir):
     return lda.long_counts(swept, "doc_id")
 
 
-def _sampled(spark, sf_dir, iterations: int = 2):
+def lda_sweep_topwords(spark, sf_dir):
+    """The topics' words after one synchronous sweep, which is the same in every engine."""
+    state, vocab = _initial(spark, sf_dir)
+    swept = kept(lda.sweep(state, vocab.count(), TOPICS, "doc_id", "word"), "swept")
+    return lda.top_words(lda.phi(swept, vocab, TOPICS).withColumn("phi", F.round("phi", 12)), vocab)
+
+
+def _sampled(spark, sf_dir, iterations: int = 2, mode: str = "block"):
     matrix, vocab = _matrix(spark, sf_dir)
-    return lda.fit(matrix, vocab.count(), TOPICS, iterations, seed=1), vocab
+    return lda.fit(matrix, vocab.count(), TOPICS, iterations, seed=1, mode=mode), vocab
 
 
-def lda_mass_word(spark, sf_dir):
-    state, vocab = _sampled(spark, sf_dir)
+def _word_mass(state: DataFrame, vocab: DataFrame) -> DataFrame:
     return lda.long_counts(state, "word_idx").groupBy("word_idx").agg(F.sum("n").alias("n")).join(vocab, "word_idx").select("word", "n")
 
 
+def _doc_mass(state: DataFrame) -> DataFrame:
+    return lda.long_counts(state, "doc_id").groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
+def lda_mass_word(spark, sf_dir):
+    return _word_mass(*_sampled(spark, sf_dir))
+
+
 def lda_mass_doc(spark, sf_dir):
-    return lda.long_counts(_sampled(spark, sf_dir)[0], "doc_id").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return _doc_mass(_sampled(spark, sf_dir)[0])
 
 
 def lda_mass_total(spark, sf_dir):
     return lda.long_counts(_sampled(spark, sf_dir)[0]).agg(F.sum("n").alias("n"))
 
 
+def lda_bundles_mass_word(spark, sf_dir):
+    """Counts of words after model-parallel sweeps, bundle by bundle."""
+    return _word_mass(*_sampled(spark, sf_dir, 1, "bundles"))
+
+
+def lda_bundles_mass_doc(spark, sf_dir):
+    return _doc_mass(_sampled(spark, sf_dir, 1, "bundles")[0])
+
+
+def lda_serial_mass(spark, sf_dir):
+    """Counts of documents after a sweep of all tokens, one after the other, in one place: of the table benchmark, whose size
+    doesn't grow with the documents'."""
+    words = bow.tokens(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    terms = kept(bow.doc_terms(words), "terms")
+    vocab = kept(bow.vocabulary(terms), "vocab")
+    matrix = bow.doc_matrix(terms, vocab)
+    return _doc_mass(lda.fit(matrix, vocab.count(), TOPICS, 1, seed=1, mode="serial"))
+
+
 def lda_topics(spark, sf_dir):
     state, vocab = _sampled(spark, sf_dir, 5)
     return lda.top_words(lda.phi(state, vocab, TOPICS), vocab)
 
 
+def zero_counters(spark, sf_dir):
+    return lda.zero_counters(bow.vocabulary(_kept_terms(spark, sf_dir)), TOPICS)
+
+
+def slice_terms(spark, sf_dir):
+    """Documents 10 to 29 in order of id: the slice is the feature."""
+    docs = corpus.document_slice(_table(spark, sf_dir, "documents").select("doc_id", "text"), 10, 20)
+    return bow.doc_terms(bow.tokens(docs))
+
+
+def _dictionary(spark, sf_dir):
+    lists = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return kept(corpus.word_list(lists), "dictionary")
+
+
+def slice_terms_dict(spark, sf_dir):
+    docs = corpus.document_slice(_table(spark, sf_dir, "documents").select("doc_id", "text"), 10, 20)
+    return bow.doc_terms(bow.only(bow.tokens(docs), _dictionary(spark, sf_dir)))
+
+
+def stop_file_terms(spark, sf_dir):
+    """Without the words of a stop file, which is read like a document, by its own header."""
+    stop = corpus.word_list(spark.createDataFrame(list(STOP_FILE.items()), "doc_id long, text string"))
+    return bow.doc_terms(bow.without(_words(spark, sf_dir), stop))
+
+
+def fixed_vocab(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus.ingest(docs, "dictionary", dictionary=_dictionary(spark, sf_dir))[1]
+
+
+def dict_matrix(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bow.doc_matrix(*corpus.ingest(docs, "dictionary", dictionary=_dictionary(spark, sf_dir)))
+
+
+def ingest_modes(spark, sf_dir):
+    """What each way of reading the corpus finds."""
+    docs, out = _table(spark, sf_dir, "documents").select("doc_id", "text"), None
+    for mode in ("serial", "parallel", "dictionary"):
+        terms, vocab = corpus.ingest(docs, mode, dictionary=_dictionary(spark, sf_dir) if mode == "dictionary" else None)
+        one = vocab.agg(F.count("*").alias("n_words")).crossJoin(terms.agg(F.sum("cnt").alias("n_tokens"))).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def index_probe(spark, sf_dir):
+    """Where the words of the benchmark stand, by the inverted index."""
+    matrix, vocab = _matrix(spark, sf_dir)
+    return bow.probe(bow.inverted_index(_slots(matrix)), _dictionary(spark, sf_dir), vocab)
+
+
+def index_matrix(spark, sf_dir):
+    """Dense index rows of 40 workers; the slots as text."""
+    matrix, _ = _matrix(spark, sf_dir)
+    blocks = kept(layout.doc_blocks(_table(spark, sf_dir, "documents"), 40), "blocks")
+    return bow.index_matrix(_slots(matrix), blocks).withColumn("slots", F.array_join(F.col("slots").cast("array<string>"), ","))
+
+
+def full_dump(spark, sf_dir):
+    scored = tfidf.dump(tfidf.tfidf(_kept_terms(spark, sf_dir), _n_docs(spark, sf_dir)))
+    return scored.withColumns({c: F.round(c, 9) for c in ("tf", "idf", "tfidf")})
+
+
 def lda_theta(spark, sf_dir):
     state, _ = _initial(spark, sf_dir)
     return lda.theta(state, TOPICS).select("doc_id", "k", F.round("theta", 10).alias("theta"))
@@ -308,6 +444,41 @@ def svd_check(spark, sf_dir):
     return linalg.reconstruction_error(_vectors(spark, sf_dir))
 
 
+def svd_rebuild(spark, sf_dir):
+    """U S V', from the three parts as they are returned: the vectors again."""
+    u, sigma, v = linalg.svd(_vectors(spark, sf_dir))
+    right = spark.createDataFrame([(j, i, float(sigma[j] * v[i, j])) for i in range(v.shape[0]) for j in range(len(sigma))], "i int, j int, v double")
+    return _rounded(linalg.multiply(u, right), 5)
+
+
+def svd_u_gram(spark, sf_dir):
+    """U'U: columns of length 1, at right angles."""
+    return _rounded(linalg.gram_columns(linalg.svd(_vectors(spark, sf_dir))[0]), 5)
+
+
+def eigen_rebuild(spark, sf_dir):
+    """A'A again, from its eigenvalues and eigenvectors."""
+    values, vectors = linalg.eigen_pairs(linalg.gram_columns(_vectors(spark, sf_dir)), 64)
+    scaled = vectors.join(values, vectors.j == values.k).select("i", "j", (F.col("v") * F.col("value")).alias("v"))
+    return _rounded(linalg.multiply(scaled, linalg.transpose(vectors)), 4)
+
+
+def eigen_order(spark, sf_dir):
+    """Places where an eigenvalue is larger than the one before it, and the sum of all."""
+    values, _ = linalg.eigen_pairs(linalg.gram_columns(_vectors(spark, sf_dir)), 64)
+    before = F.lag("value").over(W.orderBy("k"))  # 64 rows
+    return values.withColumn("b", before).agg(F.sum((F.col("value") > F.col("b")).cast("long")).alias("out_of_order"), F.round(F.sum("value"), 4).alias("trace"))
+
+
+def eigen_agree(spark, sf_dir):
+    return linalg.eigenvalues_agree(corpus.random_matrix(spark, 40, 25, 1), 40, 25)
+
+
+def mat_lines(spark, sf_dir):
+    cells = spark.range(6 * 5).select((F.col("id") / 5).cast("int").alias("i"), (F.col("id") % 5).cast("int").alias("j"))
+    return linalg.lines(cells.withColumn("v", (F.col("i") * 7 + F.col("j") * 3 - 9).cast("double") / 4))
+
+
 def random_matrix(spark, sf_dir):
     return corpus.random_matrix(spark, 40, 25, 1)
 
@@ -343,6 +514,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         queue_start, lda_init_ndk, lda_init_nwk, lda_init_nk, lda_init_phi, lda_init_topwords, lda_sync_sweep, lda_mass_word, lda_mass_doc,
         lda_mass_total, lda_topics, lda_theta, run_info, licence_scan, licence_summary, titles, row_range, row_range_terms, mat_transpose, mat_mul, gram_ata,
         gram_aat, row_norm, row_sum_one, mat_moves, largest_off_diagonal, svd_sigma, svd_energy, svd_check, random_matrix, synth_corpus, synth_share,
-        page_terms, conversation_terms, sorted_sizes,
+        page_terms, conversation_terms, sorted_sizes, local_occ, occ_matrix, condensed_counts, workers_used, lda_sweep_topwords, lda_bundles_mass_word,
+        lda_bundles_mass_doc, lda_serial_mass, zero_counters, slice_terms, slice_terms_dict, stop_file_terms, fixed_vocab, dict_matrix, ingest_modes, index_probe,
+        index_matrix, full_dump, svd_rebuild, svd_u_gram, eigen_rebuild, eigen_order, eigen_agree, mat_lines,
     )
 } | {"tfidf": tfidf_all}

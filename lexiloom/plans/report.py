@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +20,11 @@ def dated(info: DataFrame) -> DataFrame:
     """Adds the day (like 05 Mar 2024) and the time of day at which the row is made."""
     now = F.current_timestamp()
     return info.withColumn("day", F.date_format(now, "dd MMM yyyy")).withColumn("time", F.date_format(now, "HH:mm:ss"))
+
+
+def timed(step: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+    """What a step gives, and the seconds that computing all of it took."""
+    began = time.perf_counter()
+    made = step()
+    made.write.format("noop").mode("overwrite").save()
+    return made, time.perf_counter() - began

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.functions.store import kept
 from lexiloom.functions.text import hash_uniform
+from lexiloom.operators import bow
 
 MODES = ("whole", "gutenberg", "header")
 HOLDER = "HOLDER"
@@ -25,6 +27,48 @@ def read_folder(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
     return whole.withColumn("name", tail).join(numbered.select("doc_id", "name"), "name").select("doc_id", "name", "text")
 
 
+def count_files(spark: SparkSession, path: str, most: int = 0) -> int:
+    """How many files a folder has, without hidden ones, up to most (0: all); a folder that isn't there is an error."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    n = files.where(~F.col("name").startswith(".")).count()
+    return min(n, most) if most else n
+
+
+def document_slice(docs: DataFrame, start: int, n: int) -> DataFrame:
+    """n documents from the start-th (from 0) in order of id on."""
+    if start < 0 or n < 0:
+        raise ValueError("start and n must be 0 or more")
+    return docs.orderBy("doc_id").offset(start).limit(n)
+
+
+def word_list(lists: DataFrame, gutenberg: bool = False) -> DataFrame:
+    """The words (word) of stop lists or dictionaries (doc_id, text), read like documents: a list whose second and third
+    lines are numbers is cut to these lines, the last one not included."""
+    ranged = row_range(lists, gutenberg).select("doc_id", F.col("body").alias("text"))
+    return bow.tokens(ranged).select("word").distinct()
+
+
+def ingest(docs: DataFrame, mode: str = "parallel", stop: DataFrame | None = None, dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(terms, vocabulary) of docs (doc_id, text). mode "serial": words of one partition of documents; "parallel": of all
+    partitions at once; "dictionary": only a dictionary's words count, and they are the vocabulary, unseen ones too."""
+    if mode not in ("serial", "parallel", "dictionary") or (mode == "dictionary") != (dictionary is not None):
+        raise ValueError("mode is serial, parallel or, with a dictionary, dictionary")
+    words = bow.tokens(docs.coalesce(1) if mode == "serial" else docs)
+    words = words if stop is None else bow.without(words, stop)
+    if mode != "dictionary":
+        terms = kept(bow.doc_terms(words), "terms")
+        return terms, bow.vocabulary(terms)
+    listed = dictionary if stop is None else bow.without(dictionary, stop)
+    terms = kept(bow.doc_terms(bow.only(words, listed)), "terms")
+    return terms, bow.fixed_vocabulary(listed, terms)
+
+
+def write_corpus(made: DataFrame, path: str, blank: int = 3) -> None:
+    """A made-up corpus (doc_id, pos, word) as text files, a folder part for each document: blank lines, then one line."""
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    made.groupBy("doc_id").agg(F.concat(F.lit("\n" * blank), line).alias("value")).write.partitionBy("doc_id").text(path)
+
+
 def first_documents(docs: DataFrame, most: int) -> DataFrame:
     """The first so many documents by id; 0: all."""
     return docs.orderBy("doc_id").limit(most) if most else docs

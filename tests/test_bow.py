@@ -1,7 +1,10 @@
 import math
 from collections import Counter
 
+import pytest
+
 from lexiloom.operators import bow, layout, tfidf
+from lexiloom.sources import corpus
 
 DOCS = [(1, "b a b\nc 9"), (2, "a a d"), (3, "a b"), (4, None), (5, "")]
 
@@ -45,10 +48,37 @@ def test_roles():
     assert layout.roles(10, 0.6, 100) == (4, 6) and layout.roles(2, 0.6, 100) == (1, 1) and layout.roles(10, 0.01, 100) == (9, 1) and layout.roles(10, 0.2, 3) == (3, 7)
 
 
-def test_bundles_hold_all_words_once(spark):
-    placed = spark.createDataFrame([(w, w % 2) for w in range(23)], "word_idx int, pw int")
-    occ = spark.createDataFrame([(w, (w * 7) % 11) for w in range(23)], "word_idx int, occ long")
+def test_bundles_against_a_loop(spark):
+    """Each worker's words by owner: the most frequent one left and the least frequent ones left, until none is left."""
+    rows = [(r, w, (w * 7 + r) % 11, w % 2) for r in range(3) for w in range(23 + r) if (w + r) % 5]
+    df = spark.createDataFrame(rows, "prank int, word_idx int, occ long, pw int")
     for b in (1, 3, 8):
-        rows = layout.word_bundles(placed, occ, b).collect()
-        assert sorted(r.word_idx for r in rows) == list(range(23))
-        assert len({(r.pw, r.bundle, r.slot) for r in rows}) == 23 and max(r.slot for r in rows) < b
+        want = []
+        for r in range(3):
+            made = []
+            for pw in range(2):
+                left = [w for _, w in sorted((o, w) for p, w, o, q in rows if (p, q) == (r, pw))]
+                while left:
+                    first = [left.pop()] + [left.pop(0) for _ in range(min(b - 1, len(left)))]
+                    made.append((first + [-1] * (b - len(first)), pw))
+            for n, (own, pw) in enumerate(sorted(made)):
+                want += [(r, n, slot, w, pw) for slot, w in enumerate(own)]
+        bundles = layout.word_bundles(df, b)
+        assert sorted(tuple(x) for x in bundles.collect()) == sorted(want)
+        heads = {r: [w for p, _, slot, w, _ in sorted(want) if p == r and slot == 0] for r in range(3)}
+        start = {r: next((i for i, w in enumerate(h) if w >= r * (25 // 3)), len(h) - 1) for r, h in heads.items()}
+        assert {x.prank: x.bundle for x in layout.queue_start(bundles, 25, 3).collect()} == start
+
+
+def test_ingest_and_lists(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    listed = spark.createDataFrame([("a",), ("zebra",), ("b",)], "word string")
+    stop = corpus.word_list(spark.createDataFrame([(1, "x\n4\n5\nb\na")], "doc_id long, text string"))
+    assert [r.word for r in stop.collect()] == ["b"]
+    terms, vocab = corpus.ingest(docs, "dictionary", stop, listed)
+    assert [(r.word_idx, r.word, r.df, r.occ) for r in vocab.orderBy("word_idx").collect()] == [(0, "a", 3, 4), (1, "zebra", 0, 0)] and terms.count() == 3
+    assert [sorted(map(tuple, corpus.ingest(docs, m)[0].collect())) for m in ("serial", "parallel")] == [sorted(map(tuple, bow.doc_terms(bow.tokens(docs)).collect()))] * 2
+    for bad in ({"mode": "other"}, {"mode": "dictionary"}, {"dictionary": listed}):
+        with pytest.raises(ValueError):
+            corpus.ingest(docs, **bad)
+    assert [r.doc_id for r in corpus.document_slice(docs, 1, 2).collect()] == [2, 3]

@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from lexiloom.operators import bow, lda
 from lexiloom.sources import corpus
 
@@ -18,7 +21,7 @@ def test_counts_are_conserved_and_topics_found(spark):
 
 def test_modes_and_reruns(spark):
     matrix = spark.createDataFrame([(d, w, 1 + (d + w) % 3) for d in range(6) for w in range(5)], "doc_id long, word_idx int, cnt long")
-    for mode in ("serial", "ad", "block"):
+    for mode in ("serial", "ad", "block", "bundles"):
         runs = [sorted((r.doc_id, r.word_idx, tuple(r.z)) for r in lda.fit(matrix, 5, 3, 2, 7, mode, 2).collect()) for _ in range(2)]
         assert runs[0] == runs[1] and all(len(z) == 1 + (d + w) % 3 and set(z) <= {0, 1, 2} for d, w, z in runs[0])
 
@@ -29,3 +32,49 @@ def test_phi_and_theta_are_distributions(spark):
     vocab = spark.createDataFrame([(w, f"w{w}") for w in range(6)], "word_idx int, word string")
     assert all(abs(r[1] - 1) < 1e-9 for r in lda.phi(state, vocab, 3).groupBy("k").sum("phi").collect())
     assert all(abs(r[1] - 1) < 1e-9 for r in lda.theta(state, 3).groupBy("doc_id").sum("theta").collect())
+
+
+def test_bundles_find_topics_and_conserve_counts(spark):
+    made = corpus.topic_corpus(spark, n_docs=30, n_words=500)
+    terms = bow.doc_terms(made.select("doc_id", "word"))
+    vocab = bow.vocabulary(terms).cache()
+    matrix = terms.join(vocab, "word").select("doc_id", "word_idx", "cnt").cache()
+    state = lda.fit(matrix, vocab.count(), k=10, iterations=4, seed=3, mode="bundles", parts=2, rounds=2)
+    n = lda.long_counts(state, "doc_id").groupBy("doc_id").sum("n").collect()
+    assert {r[0]: r[1] for r in n} == {i: 500 for i in range(30)}
+    # Words of a decade come together: topics are far less even over decades than at the start, where each is a tenth.
+    counts = lda.long_counts(state, "word_idx").join(vocab, "word_idx").selectExpr("int(word) div 10 as decade", "k", "n").groupBy("decade", "k").sum("n").toPandas()
+    share = counts.groupby("k")["sum(n)"].max() / counts.groupby("k")["sum(n)"].sum()
+    assert share.mean() > 0.25
+
+
+def test_each_word_has_one_round_a_sweep():
+    words = np.arange(500)
+    for parts, rounds in ((1, 1), (3, 4), (8, 5)):
+        own = [lda.bundle_round(words, p, parts, rounds) for p in range(parts)]
+        assert all(set(o) <= set(range(rounds)) for o in own)
+        if parts <= rounds:  # no two workers draw a word in the same round
+            assert all(len({o[w] for o in own}) == parts for w in words)
+
+
+def test_a_serial_sweep_by_hand():
+    rng = np.random.default_rng(1)
+    docs, words, cnts = np.repeat(np.arange(4), 3), np.tile(np.arange(3, dtype=np.int32), 4), np.full(12, 2, np.int32)
+    part = lda._Part(docs, words, cnts, rng.integers(0, 3, 24))
+    z, u = part.z.copy(), rng.random(24)
+    n_w = np.stack([np.bincount(z[words[part.row] == w], minlength=3) for w in range(3)])
+    part.swept(np.arange(3), n_w, np.bincount(z, minlength=3), 3, 3, 1.0, 1.0, u, 1)
+    for i in range(24):  # one token after the other, all counts counted anew
+        rest = np.arange(24) != i
+        d, w = docs[part.row] == docs[part.row[i]], words[part.row] == words[part.row[i]]
+        n = [np.bincount(z[rest & at], minlength=3) for at in (d, w, np.ones(24, bool))]
+        c = np.cumsum((n[0] + 1) * (n[1] + 1) / (n[2] + 3))
+        z[i] = min(2, int((c < u[i] * c[-1]).sum()))
+    assert (part.z == z).all()
+
+
+def test_settings_are_checked(spark):
+    matrix = spark.createDataFrame([(1, 0, 1)], "doc_id long, word_idx int, cnt long")
+    for bad in ({"mode": "none"}, {"k": 0}, {"iterations": -1}, {"rounds": 0}):
+        with pytest.raises(ValueError):
+            lda.fit(matrix, 1, **bad)

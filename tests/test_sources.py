@@ -1,3 +1,6 @@
+import pytest
+from pyspark.errors import AnalysisException
+
 from lexiloom.operators import bow
 from lexiloom.plans.fixtures import DOCUMENTS
 from lexiloom.sources import corpus
@@ -32,6 +35,23 @@ def test_folder(spark, tmp_path):
     rows = corpus.read_folder(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.name) for r in rows] == [(0, "a.txt"), (1, "b.txt")] and rows[0].text == "in a.txt\nx"
     assert corpus.read_folder(spark, str(tmp_path), 1).count() == 1
+    assert corpus.count_files(spark, str(tmp_path)) == 2 and corpus.count_files(spark, str(tmp_path), 1) == 1
+    with pytest.raises(AnalysisException):
+        corpus.count_files(spark, str(tmp_path / "absent"))
+
+
+def test_made_up_corpus_as_files(spark, tmp_path):
+    corpus.write_corpus(corpus.topic_corpus(spark, n_docs=2, n_words=20), str(tmp_path / "made"))
+    files = sorted((tmp_path / "made").glob("doc_id=*/part-*"))
+    texts = [f.read_text() for f in files]
+    assert len(texts) == 2 and all(t.startswith("\n\n\n") and len(t.split()) == 20 for t in texts)
+
+
+def test_timed(spark):
+    from lexiloom.plans import report
+
+    made, seconds = report.timed(lambda: spark.range(10))
+    assert made.count() == 10 and seconds > 0
 
 
 def test_stream(spark, tmp_path):
