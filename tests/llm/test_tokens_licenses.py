@@ -102,6 +102,26 @@ def test_licenses(spark):
     assert ls.words_of(docs[0][1])[first["first"] : first["last"] + 1] == ls.words_of(ls.TEMPLATES["Apache-2.0 notice"])
 
 
+def test_noisy_templates_against_whole_alignment():
+    """What an alignment of the noisy template alone covers well, a scan of a long text around it finds."""
+    rng, own = random.Random(7), {name: ls.words_of(t) for name, t in ls.TEMPLATES.items()}
+    common = ["the", "of", "and", "software", "license", "to", "copy"] + [f"f{k}" for k in range(200)]
+    missed = tried = 0
+    for _ in range(150):
+        name = rng.choice(list(own))
+        noisy = []
+        for w in own[name]:
+            u = rng.random()
+            noisy += [w] if u > 0.09 else [] if u < 0.03 else ["other"] if u < 0.06 else [w, "more"]
+        alone = ls.coverage(noisy, own[name])[0]
+        before, after = ([rng.choice(common) for _ in range(rng.randrange(300))] for _ in range(2))
+        if alone >= 0.8:
+            tried += 1
+            missed += name not in {x[0] for x in ls.scan(before + noisy + after, own, 0.75)}
+        assert not ls.scan(before + after, own, 0.75)
+    assert tried > 100 and missed <= 0.02 * tried
+
+
 def test_odd_licenses(spark):
     found = ls.licenses(odd(spark, "found")).collect()
     assert len(found) == len(rows()) and all(r.found == [] for r in found)
