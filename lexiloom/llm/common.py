@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 FINE = 10**15  # steps of a sampling hash: enough to draw thousands of rows from any number
 _OWN_SCRATCH: list[str] = []
+_WRITTEN: list[str] = []  # scratch paths of this process, in order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def scratch_mark() -> int:
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, mark: int) -> None:
+    """Deletes what this process has written as scratch since the mark, but for the last table. Only for those that know
+    that nothing reads the others any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in _WRITTEN[mark:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del _WRITTEN[mark:-1]
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

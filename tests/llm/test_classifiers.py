@@ -109,3 +109,78 @@ def test_training_sample_is_bounded(spark):
     own = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     got = labelled_texts(docs, own, "quality", own.doc_id >= 0, 100, 1, 1000)
     assert 100 < len(got) < 300 and got == labelled_texts(docs.repartition(7), own, "quality", own.doc_id >= 0, 100, 1, 1000)
+
+
+TEXTS = ["", "a", "Eins zwei DREI!! vier?", "the quick brown fox 42 jumps; the QUICK fox", "é ü 漢字 ok... \u1e9e", "der schnelle fuchs und die katze", "x " * 300]
+
+
+def test_quality_score_by_hand():
+    """Each n-gram of a text by itself, in whole numbers."""
+    weights, bias = quality.fit([(i, t * (1 + i % 3), i % 2) for i, t in enumerate(TEXTS * 6)])
+    hashes, ends = quality.NGramHasher()(TEXTS)
+    word_hash, shape_hash = quality.xxhash.xxh64_intdigest, lambda w: quality.xxhash.xxh64_intdigest(quality._shape(w), seed=1)
+    p1, p2, p3, top = int(quality._P1), int(quality._P2), int(quality._P3), 2**64
+    for text, low, high in zip(TEXTS, [0, *ends[:-1]], ends, strict=True):
+        words, want = quality.WORD.findall(text), []
+        for i, w in enumerate(words):
+            before, shape = word_hash(words[i - 1]) if i else 0, shape_hash(w)
+            pair = ((shape_hash(words[i - 1]) if i else 0) * p2 + shape) % top
+            last = ((shape_hash(words[i - 2]) if i > 1 else 0) * p2 + shape_hash(words[i - 1])) % top if i else 0
+            triple = (last * p3 + shape) % top
+            want += [(x * p1 % top) >> (64 - quality.BITS) for x in (word_hash(w), (before * p2 + word_hash(w)) % top, pair ^ p2, triple ^ p3)]
+        assert hashes[low:high].tolist() == want
+        mean = sum(float(weights[k]) for k in want) / max(1, len(want)) ** 0.5
+        assert abs(quality._segments(weights[hashes], ends)[TEXTS.index(text)] / max(1, high - low) ** 0.5 - mean) < 1e-6
+
+
+def test_language_by_hand():
+    """Family by all duels, then the language within it, from margins that are added up gram by gram."""
+    samples = [(f"{t} {k}", lang) for k in range(20) for t, lang in (("the fox and the dog", "en"), ("der fuchs und die katze", "de"), ("el zorro y los perros", "es"), ("le renard et les chiens", "fr"))]
+    model, texts = langid.fit(samples), ["the dogs", "die hunde und", "los gatos", "les chats et", "123", "", "der zorro"]
+    x, has = langid.gram_counts(texts)
+    got, score = langid.predict(model, texts)
+    for i, text in enumerate(texts):
+        def winner(group, row=x[i]):
+            votes = {}
+            for k, (g, p, q) in enumerate(model["pairs"]):
+                if g == group:
+                    m = sum(float(v) * float(model["weights"][at, k]) for at, v in enumerate(row) if v)
+                    for name, margin in ((p, m), (q, -m)):
+                        old = votes.get(name, (0, 0.0))
+                        votes[name] = (old[0] + (margin > 0), old[1] + margin)
+            return max(model["groups"][group], key=lambda n: votes.get(n, (0, 0.0)))
+        assert has[i] == any(map(str.isalpha, text))
+        assert got[i] == (winner(winner("")) if has[i] else "und") and 0 <= score[i] <= 1
+    naive = {}
+    low = "ab, c"  # every run of one to three letters, with the edges of words as one sign
+    for n in (1, 2, 3):
+        naive[n] = len(low)
+    row, _ = langid.gram_counts([low])
+    assert abs((row**2).sum() - 1) < 1e-5
+
+
+def test_toxicity_score_by_hand():
+    """Windows of each text one by one: the largest value of each filter, then the sum."""
+    rows_ = [(i, ("bad awful words here " if i % 2 else "a fine and good day ") * (1 + i % 3) + f"n{i}", i % 2) for i in range(80)]
+    model = toxicity.fit(rows_)
+    texts = ["a fine day", "awful bad words", "", "unknown", "bad"]
+    words = toxicity.Words(model["row_of"], model["vectors"])
+    got = toxicity.score_texts(model, words, texts)
+    for text, s in zip(texts, got, strict=True):
+        vectors = [np.zeros(toxicity.DIM)] * 2
+        for w in toxicity.WORD.findall(text.lower()):
+            vectors.append(sum(model["vectors"][model["row_of"].get(b, 0)].astype(float) for b in toxicity.buckets(w) if b >= 0))
+        vectors += [np.zeros(toxicity.DIM)] * 2
+        top = [max(sum(vectors[at + j] @ model["w"][k][j][:, f] for j in range(width)) for at in range(len(vectors) - 2)) for k, width in enumerate(toxicity.WIDTHS) for f in range(toxicity.FILTERS)]
+        z = np.maximum(np.array(top) + model["b"], 0) @ model["out"] + model["bias"] - model["cut"].get("und", model["cut_of_others"])
+        assert abs(1 / (1 + np.exp(-z)) - s) < 1e-4
+
+
+def test_thresholds_follow_predicted_languages():
+    rows_ = []
+    for i in range(240):
+        base, toxic = ("the dog and the fox run " if i // 3 % 2 else "der hund und die katze laufen ") * 2, i * 7 % 11 > 5
+        rows_.append((i, base + ("grim vile " if toxic else "calm kind "), int(toxic)))
+    known = langid.fit([(t, "en" if i // 3 % 2 else "de") for i, t, _ in rows_])
+    model = toxicity.fit(rows_, known)
+    assert set(model["cut"]) == {"en", "de"} and toxicity.text_langs(model, ["the dog and the fox", "der hund und die katze"]) == ["en", "de"]

@@ -101,3 +101,37 @@ def test_seed_texts_count_whole(spark):
     counts = hmm.seed_counts(rows.repartition(3).mapInPandas(hmm._encoded(frequent, 4), schema).where("kind = 0"), hashes)
     assert times[frequent[b"b"]] == 15 + 15 + 3_000 + 3_000 and times[hmm.END] == 0
     assert sorted(counts[:, frequent[b"b"]].tolist()) == [15, 15, 3_000] and (counts[:, hmm.END] == 1).all()
+
+
+def test_score_by_hand(spark):
+    """The whole score again, from counts, classes and a forward recursion over plain numbers: without rounds, so that the
+    model is the one that Baum-Welch would start from."""
+    n_own = hmm.FREQUENT
+    texts = [" ".join(f"w{k}" for k in range(9_000)) + " w7 w8999 w8999", "a b a c", "b b a d e", "a a f", "c d a b g h", "z a", "", "b y y x"]
+    learn = [i for i in range(len(texts)) if i != 4 and i != 6]  # the first text has more words than have classes of their own
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.base_score, r.score) for r in hmm.score_texts(df, ~F.col("doc_id").isin(4, 6), rounds=0).collect()}
+    split = [[*hmm.tokens(t), None] for t in texts]
+    train = Counter(w for i in learn for w in split[i])
+    best = sorted((w for w in train if w), key=lambda w: (-train[w], w))[:n_own]
+    place = {w: k + 1 for k, w in enumerate(best)}
+    divisor = sum(train.values()) + 0.1 * (len(train) + 1)
+
+    def of(w):
+        return 0 if w is None else place.get(w) or 1 + n_own + hmm.zlib.crc32(w[-2:]) % hmm.RARE
+
+    counts, kinds = Counter(), Counter()
+    for w, n in train.items():
+        counts[of(w)] += n
+        kinds[of(w)] += 1
+    mass = np.array([(counts[k] + 0.1 * max(1, kinds[k]) + 0.1 * (k > n_own)) / divisor for k in range(1 + n_own + hmm.RARE)])
+    m = hmm.initial(mass / mass.sum(), np.zeros((0, len(mass)), np.float32))
+    for i, words in enumerate(split):
+        weights, log = [m.start[s] * m.emit[of(words[0]), s] for s in range(hmm.STATES)], 0.0
+        for w in words[1:]:
+            log += math.log10(sum(weights))
+            weights = [x / sum(weights) for x in weights]
+            weights = [sum(weights[r] * m.move[r, s] for r in range(hmm.STATES)) * m.emit[of(w), s] for s in range(hmm.STATES)]
+        share = [math.log10((train[w] + 0.1) / divisor / mass[of(w)]) for w in words]
+        base = sum(math.log10((train[w] + 0.1) / divisor) for w in words)
+        assert math.isclose(got[i][0], base, rel_tol=1e-9) and math.isclose(got[i][1], log + math.log10(sum(weights)) + sum(share), rel_tol=1e-9)
