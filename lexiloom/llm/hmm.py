@@ -60,11 +60,16 @@ def frequent_words(docs: DataFrame) -> tuple[dict[bytes, int], list[int], np.nda
         # Hashes travel as words counted below 0; no word has the space in front.
         yield pd.DataFrame({"word": [b" " + (h + (1 << 63)).to_bytes(8, "big") for h in least], "n": -1})
 
-    # Both limits read one exchange, and are written so that the driver gets their rows alone, not each task's best.
-    found = docs.select("text", _seed_hash()).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = found.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT)
-    hashes = found.where("n < 0").orderBy("word").limit(SEED_DOCS)
-    rows = [(bytes(r["word"]), r["n"]) for r in materialise(best.unionByName(hashes), "words").collect()]
+    # Histograms bound what is sorted for either limit: a few rows more than it, from however many tasks.
+    counted = docs.select("text", _seed_hash()).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    step = F.when(F.col("n") > 0, -F.floor(F.log2("n") * 16)).otherwise(F.conv(F.hex(F.substring("word", 2, 2)), 16, 10).cast("long"))
+    counted = materialise(counted.withColumn("kind", F.col("n") > 0).withColumn("step", step), "words")
+    steps, rows = counted.groupBy("kind", "step").agg(F.count("*").alias("times")).toPandas(), []
+    for kind, most, order in ((True, FREQUENT, [F.desc("n"), F.col("word")]), (False, SEED_DOCS, [F.col("word")])):
+        own = steps[steps["kind"] == kind].sort_values("step")
+        enough = own["step"][own["times"].cumsum() >= most]
+        best = counted.where(F.col("kind") == kind).where(F.col("step") <= int(enough.iloc[0]) if len(enough) else F.lit(True))
+        rows += [(bytes(r["word"]), r["n"]) for r in best.orderBy(*order).limit(most).collect()]
     words = sorted((-n, w) for w, n in rows if n > 0)
     times = np.zeros(1 + FREQUENT, np.int64)
     times[1 : 1 + len(words)] = [-n for n, _ in words]
