@@ -323,9 +323,9 @@ def first_of_classes(docs: DataFrame, threshold: float = THRESHOLD, target: floa
     all its columns. Every row without words stays."""
     _, texts = text_classes(docs, threshold, target)
     order = F.struct(F.col("text_id").isNull().alias("late"), "text_id", "digest")
-    winners = texts.where("root is not null").groupBy("root").agg(F.min(order).alias("first"))
-    kept = texts.join(winners, "root", "left").where("root is null or digest = first.digest")
-    kept = materialise(kept.select(F.col("text_id").alias("_id"), F.col("digest").alias("_first")), "kept")
+    own_class = F.when(F.col("root").isNull(), F.col("digest")).alias("alone")  # texts without links are classes of their own
+    kept = texts.groupBy("root", own_class).agg(F.min(order).alias("first"))
+    kept = materialise(kept.select(F.col("first.text_id").alias("_id"), F.col("first.digest").alias("_first")), "kept")
     own = docs.withColumn("_digest", text_digest())
     same = (F.col("_digest") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     found = own.where("_digest is not null").join(kept.hint("shuffle_hash"), same, "left_semi")
