@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import chunks, materialise, sampled_texts, sum_slices, with_columns
+from lexiloom.llm.common import chunks, sum_slices, with_columns
 
 WORD = re.compile(r"\w+")
+ASCII_SPACED = bytes(k if k > 127 or WORD.match(chr(k)) else 32 for k in range(256))
+APART = re.compile(r"[^\w ]")
 WINDOW, STRIDE = 32, 8
 RANK, EXTRA = 96, 16
 COSINE = 0.5  # least cosine, in the latent space, of a passage and an item that are compared word by word
 COVERAGE, ANSWER = 0.6, 0.5
-FIT_DOCS = 5_000  # documents whose passages the SVD is fitted on, beside all items
-FIT_TASKS = 32
+FIT_TASKS = 32  # the SVD is fitted by so many tasks at most, or by more if each still has words enough:
+FIT_WORDS = 1_000  # times the vocabulary's size, which is that of each task's sums
+AT_ONCE = 512  # blocks of words whose rows are added up at a time, so that they stay in the processor's cache
 ITEMS_AT_ONCE = 5_000  # cosines are taken of so many items at a time; results don't depend on it
 MOST_ITEM_WORDS = 20_000_000  # of a benchmark, all of which is broadcast
 SHORT = 5  # items of fewer words are found by their exact word sequence alone
@@ -27,7 +31,10 @@ DENSEST = 0.6  # a leak's densest passage holds this share at least of COVERAGE
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, digits and _, in lower case. Where ASCII alone parts them, splitting gives the same words faster."""
+    text = text.lower()
+    spaced = text.encode("utf-8", "surrogatepass").translate(ASCII_SPACED).decode("utf-8", "surrogatepass")
+    return spaced.split() if spaced.isascii() or not APART.search(spaced) else WORD.findall(text)
 
 
 def masks(words: list) -> dict:
@@ -71,7 +78,7 @@ def _stream(whole: list[str], vocab: dict[str, int]) -> tuple[list[list[str]], n
     texts, ids, starts = [words_of(t) for t in whole], [-1] * WINDOW, []
     for words in texts:
         starts.append(len(ids))
-        ids += [get(w, -1) for w in words]
+        ids += map(get, words, repeat(-1))
         ids += [-1] * (WINDOW + -len(words) % STRIDE)
     return texts, np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64)
 
@@ -80,16 +87,24 @@ def _blocks(ids: np.ndarray) -> np.ndarray:
     return np.concatenate((ids, np.full(-len(ids) % STRIDE, -1))).reshape(-1, STRIDE)
 
 
-def _passages(blocks: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _passages(blocks: np.ndarray, words: np.ndarray, times: int = 1) -> np.ndarray:
     """Every window, STRIDE apart, as the sum of its words' rows (the last row of ``words`` is for -1). Each word is
-    looked up once, in its block of STRIDE words; windows are sums of neighbouring blocks."""
-    sums = words[blocks[:, 0]]
-    for j in range(1, STRIDE):
-        sums += words[blocks[:, j]]
-    n = max(0, len(blocks) - WINDOW // STRIDE + 1)
-    out = sums[:n].copy()
-    for j in range(1, WINDOW // STRIDE):
-        out += sums[j : n + j]
+    looked up once, in its block of STRIDE words; windows are sums of neighbouring blocks. With times = 2 neighbouring
+    windows are summed once more: all those that hold the block in the middle."""
+    near = WINDOW // STRIDE
+    n = max(0, len(blocks) - times * (near - 1))
+    out = np.empty((n, words.shape[1]), words.dtype)
+    for k in range(0, n, AT_ONCE):
+        some = blocks[k : min(n, k + AT_ONCE) + times * (near - 1)]
+        sums = words[some[:, 0]]
+        for j in range(1, STRIDE):
+            sums += words[some[:, j]]
+        for _ in range(times):
+            m = len(sums) - near + 1
+            single, sums = sums, sums[:m].copy()
+            for j in range(1, near):
+                sums += single[j : m + j]
+        out[k : k + AT_ONCE] = sums
     return out
 
 
@@ -97,79 +112,74 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def document_counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each word of the items stands, over all documents, and how many documents there are."""
+def document_counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int, int]:
+    """In how many documents each word of the items stands, over all documents; how many documents and words there are."""
     known = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def count(frames):
-        vocab, have, total = known.value, Counter(), 0
+        vocab, have, total, length = known.value, Counter(), 0, 0
         keys = vocab.keys()
         for pdf in frames:
             for text in pdf["text"].fillna(""):
-                have.update(keys & set(words_of(text)))
+                words = words_of(text)
+                have.update(keys & set(words))
+                length += len(words)
             total += len(pdf)
-        yield pd.DataFrame({"word": [*(vocab[w] for w in have), len(vocab)], "n": [*have.values(), total]})
+        yield pd.DataFrame({"word": [*(vocab[w] for w in have), len(vocab), len(vocab) + 1], "n": [*have.values(), total, length]})
 
     sums = docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(vocab) + 1, np.int64)
+    out = np.zeros(len(vocab) + 2, np.int64)
     out[sums["word"].to_numpy(dtype=np.int64)] = sums["n"]
-    return out[:-1], int(out[-1])
+    return out[:-2], int(out[-2]), int(out[-1])
 
 
-def _summed(sample: DataFrame, vocab: dict[str, int], idf: np.ndarray, onto: np.ndarray, gram: bool) -> np.ndarray:
-    """Over the passages A of the sample: A'(A onto), or (A onto)'(A onto) if gram. The sample is dealt to FIT_TASKS tasks,
-    whatever table it is from, and so many slices of rows meet at most."""
-    width = onto.shape[1]
-    given = sample.sparkSession.sparkContext.broadcast((vocab, np.concatenate((onto * idf[:, None], np.zeros((1, width))))))
-    height = width if gram else len(vocab)
+def passage_sums(docs: DataFrame, vocab: dict[str, int], idf: np.ndarray, onto: np.ndarray, n_tasks: int) -> np.ndarray:
+    """A'(A onto), A being the TF-IDF passages of all documents. Tasks add up those of their documents; there are n_tasks
+    at most, since what each gives is of the vocabulary's size, however few documents it has."""
+    height, width = onto.shape
+    given = docs.sparkSession.sparkContext.broadcast((vocab, np.concatenate((onto * idf[:, None], np.zeros((1, width))))))
 
     def add(frames):
         vocab, rows = given.value
-        total = np.zeros((height + 1, width))
+        total = np.zeros((height, width))
         for part in (part for pdf in frames for part in chunks(pdf, 2_000_000)):
             _, ids, _ = _stream(part["text"].fillna("").tolist(), vocab)
-            y = _passages(blocks := _blocks(ids), rows)
-            if gram:
-                total[:-1] += y.T @ y
-                continue
-            back = np.zeros((len(blocks), width))
-            for j in range(WINDOW // STRIDE):
-                back[j : j + len(y)] += y
-            for j in range(STRIDE):
-                np.add.at(total, blocks[:, j], back)
-        total = total[:-1] if gram else total[:-1] * idf[:, None]
+            around = _passages(_blocks(ids), rows, 2)  # begins with the windows around the fourth block; words stand after that
+            at = np.flatnonzero(ids >= 0)
+            at = at[np.argsort(ids[at], kind="stable")]  # each word's places are together
+            low = np.flatnonzero(np.diff(ids[at], prepend=-1))
+            block = at // STRIDE - WINDOW // STRIDE + 1
+            for w, a, b in zip(ids[at[low]].tolist(), low.tolist(), [*low[1:].tolist(), len(at)], strict=False):
+                total[w] += around.take(block[a:b], axis=0).sum(axis=0)
+        total *= idf[:, None]
         for k in range(0, height, 256):
-            yield pd.DataFrame({"slice": [k], "sums": [np.ascontiguousarray(total[k : k + 256]).tobytes()]})
+            if total[k : k + 256].any():
+                yield pd.DataFrame({"slice": [k], "sums": [total[k : k + 256].tobytes()]})
 
-    return sum_slices(sample.select("text").mapInPandas(add, "slice long, sums binary"), height, width, FIT_TASKS)
+    return sum_slices(docs.select("text").coalesce(n_tasks).mapInPandas(add, "slice long, sums binary"), height, width, n_tasks)
 
 
-def latent_basis(docs: DataFrame, vocab: dict[str, int], idf: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+def latent_basis(docs: DataFrame, vocab: dict[str, int], idf: np.ndarray, items: list[np.ndarray], n_words: int = 0) -> np.ndarray:
     """Right singular vectors (words x rank) of the TF-IDF passages, by a randomised SVD.
 
-    The passages are those of a bounded sample of FIT_DOCS documents, and all items, which count for as much. Tasks
-    multiply their passages; the driver gets words x (RANK + EXTRA) sums, bounded by the benchmark's words.
+    The passages are those of all documents (of n_words words), and all items, which count for as much. One pass gives
+    A'A times random vectors; the eigenvectors are those of the Nyström approximation of A'A, which needs no more of A.
+    The driver gets words x (RANK + EXTRA) sums, bounded by the benchmark's words.
     """
     width = min(RANK + EXTRA, len(vocab))
-
-    def own(onto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The items, each of length 1, times onto; and their transpose times that."""
-        y, back = np.zeros((len(items), onto.shape[1])), np.zeros(onto.shape)
-        for i, ids in enumerate(items):
-            words, times = np.unique(ids, return_counts=True)
-            x = times * idf[words]
-            x /= max(np.linalg.norm(x), 1e-12)
-            y[i] = x @ onto[words]
-            back[words] += x[:, None] * y[i]
-        return y, back
-
-    onto = np.random.default_rng(3).normal(size=(len(vocab), width))
-    sample = materialise(sampled_texts(docs, FIT_DOCS, 3).repartition(FIT_TASKS), "passages")
-    z, w = _summed(sample, vocab, idf, onto, False), own(onto)[1]
-    basis = np.linalg.qr(z / max(np.linalg.norm(z), 1e-12) + w / max(np.linalg.norm(w), 1e-12))[0]
-    g, y = _summed(sample, vocab, idf, basis, True), own(basis)[0]
-    values, turn = np.linalg.eigh(g / max(np.trace(g), 1e-12) + y.T @ y / max((y * y).sum(), 1e-12))
-    return basis @ turn[:, np.argsort(-values)[:RANK]]
+    onto = np.linalg.qr(np.random.default_rng(3).normal(size=(len(vocab), width)))[0]
+    own = np.zeros(onto.shape)  # the same of the items, each of length 1
+    for ids in items:
+        words, times = np.unique(ids, return_counts=True)
+        x = times * idf[words]
+        x /= max(np.linalg.norm(x), 1e-12)
+        own[words] += x[:, None] * (x @ onto[words])
+    found = passage_sums(docs, vocab, idf, onto, max(FIT_TASKS, n_words // (FIT_WORDS * len(vocab))))
+    both = sum(z / max((onto * z).sum(), 1e-12) for z in (found, own))
+    core = onto.T @ both
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-12 * values[-1]  # no passage and no item has a part in the other directions
+    return np.linalg.svd(both @ (turn[:, kept] / np.sqrt(values[kept])), full_matrices=False)[0][:, :RANK]
 
 
 def _verbatim(ids: np.ndarray, items: list[np.ndarray], anchors: np.ndarray):
@@ -197,7 +207,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     items = sorted(items, key=lambda x: len(x[1]) < SHORT)  # short ones last: the latent search leaves them out
     vocab = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
     ids = [np.array([vocab[w] for w in words]) for _, words in items]
-    have, n = document_counts(docs, vocab)
+    have, n, n_words = document_counts(docs, vocab)
     anchors = np.array([int(have[i].argmin()) for i in ids])
     long = [i for i in ids if len(i) >= SHORT]
     rows = latent = useful = None
@@ -205,7 +215,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
         idf, useful = np.zeros(len(vocab)), np.zeros(len(vocab) + 1, np.int8)
         own = np.unique(np.concatenate(long))
         idf[own], useful[own] = np.log((n + 1) / (have[own] + 0.5)), 1
-        basis = latent_basis(docs, vocab, idf, long)
+        basis = latent_basis(docs, vocab, idf, long, n_words)
         latent = _unit(np.stack([(basis[i] * idf[i][:, None]).sum(axis=0) for i in long])).astype(np.float32)
         rows = np.concatenate((basis * idf[:, None], np.zeros((1, basis.shape[1])))).astype(np.float32)
     model = docs.sparkSession.sparkContext.broadcast((vocab, rows, latent, items, useful, ids, anchors))

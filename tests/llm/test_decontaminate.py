@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,52 @@ def test_a_benchmark_too_large_is_an_error(spark, monkeypatch):
 def test_sample_of_copies_is_bounded(spark):
     copies = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
     assert sampled_texts(copies, 100, 3).count() <= 1
+
+
+def passage_rows(texts, vocab):
+    """Every window of every text, as counts of the vocabulary's words."""
+    for text in texts:
+        words = [vocab.get(w, -1) for w in d.words_of(text)]
+        for at in range(-d.WINDOW, len(words) + d.WINDOW, d.STRIDE):
+            own = [w for w in words[max(0, at) : max(0, at + d.WINDOW)] if w >= 0]
+            if own:
+                yield np.bincount(own, minlength=len(vocab))
+
+
+def test_basis_is_of_all_documents(spark, monkeypatch):
+    """The latent space is that of every passage of every document, whatever their number, and of all items."""
+    monkeypatch.setattr(d, "RANK", 4)
+    monkeypatch.setattr(d, "EXTRA", 20)  # as many vectors as words: the largest singular vectors are found exactly
+    rng = random.Random(8)
+    vocab = {f"w{k}": k for k in range(20)}
+    texts = [" ".join(rng.choices([*vocab, "other"], weights=[1 + (k + i // 2000) % 7 for k in range(21)], k=rng.randrange(4, 30))) for i in range(8000)]
+    idf, items = 1 + np.arange(20) / 10, [np.array([1, 2, 3, 5, 5, 8]), np.array([0, 19, 18, 7, 11])]
+    a = np.array(list(passage_rows(texts, vocab))) * idf
+    b = np.array([np.bincount(i, minlength=20) * idf for i in items])
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    best = np.linalg.eigh(a.T @ a / (a * a).sum() + b.T @ b / (b * b).sum())[1][:, -4:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 40):
+        found = d.latent_basis(docs.repartition(n), vocab, idf, items)
+        assert found.shape == (20, 4) and np.abs(found @ found.T - best @ best.T).max() < 1e-9
+
+
+def test_basis_with_few_vectors(spark):
+    """With fewer vectors than words the space holds nearly as much of the passages and items as the best of its rank."""
+    docs, items, _ = corpus()
+    vocab = {w: k for k, w in enumerate(sorted({w for _, t in items for w in d.words_of(t)}))}
+    ids = [np.array([vocab[w] for w in d.words_of(t)]) for _, t in items]
+    a = np.array(list(passage_rows([t for _, t in docs], vocab)), float)
+    b = np.array([np.bincount(i, minlength=len(vocab)) for i in ids], float)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    whole = a.T @ a / (a * a).sum() + b.T @ b / (b * b).sum()
+    found = d.latent_basis(spark.createDataFrame(docs, "doc_id long, text string"), vocab, np.ones(len(vocab)), ids)
+    assert len(vocab) > d.RANK + d.EXTRA and np.abs(found.T @ found - np.eye(d.RANK)).max() < 1e-9
+    assert np.trace(found.T @ whole @ found) > 0.9 * np.linalg.eigvalsh(whole)[-d.RANK :].sum()
+
+
+def test_words():
+    rng = random.Random(9)
+    every = [chr(k) for k in range(128)]
+    for text in ("".join(every), *("".join(rng.choices(every, k=60)) for _ in range(300)), "Straße_1 漢字\u3000ok", ""):
+        assert d.words_of(text) == re.findall(r"\w+", text.lower())
