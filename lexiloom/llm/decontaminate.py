@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -15,7 +13,11 @@ from lexiloom.llm.common import chunks, sum_slices, with_columns
 
 WORD = re.compile(r"\w+")
 ASCII_SPACED = bytes(k if k > 127 or WORD.match(chr(k)) else 32 for k in range(256))
+ASCII_LOWER = ASCII_SPACED.lower()
+ASCII = bytes(range(128))
 APART = re.compile(r"[^\w ]")
+HEAD = 16  # bytes of a word that are compared as two numbers; the rest of longer words is compared as it is
+P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WINDOW, STRIDE = 32, 8
 RANK, EXTRA = 96, 16
 COSINE = 0.5  # least cosine, in the latent space, of a passage and an item that are compared word by word
@@ -70,17 +72,84 @@ def is_leak(item: list, region: list, places: dict | None = None) -> tuple[bool,
     return lcs(answer, region) / len(answer) >= ANSWER, share
 
 
-def _stream(whole: list[str], vocab: dict[str, int]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Texts as words; ids of all words (-1: in no item); where each text starts. WINDOW of -1 or more stand before and
-    after each text, and texts start at multiples of STRIDE, so a text's windows hold its words alone and are the same
-    whatever texts stand beside it."""
-    get = vocab.get
-    texts, ids, starts = [words_of(t) for t in whole], [-1] * WINDOW, []
-    for words in texts:
-        starts.append(len(ids))
-        ids += map(get, words, repeat(-1))
-        ids += [-1] * (WINDOW + -len(words) % STRIDE)
-    return texts, np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64)
+def _raw(text: str) -> bytes:
+    """The same words with spaces between them, as UTF-8; ASCII signs and capitals are still in it."""
+    if text.isascii():
+        return text.encode()
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    if APART.search(raw.translate(None, ASCII).decode("utf-8", "surrogatepass")):
+        return " ".join(words_of(text)).encode("utf-8", "surrogatepass")
+    return raw
+
+
+def _cut(parts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts as one string of words and spaces; how many words each part has; where each word starts and ends in the
+    string; its first 8 bytes and the next 8, as numbers (0 where there are no more)."""
+    raw = b" ".join([b"", *parts, b" " * 2 * HEAD]).translate(ASCII_LOWER)
+    raw += b" " * (-len(raw) % 8)
+    inside = np.frombuffer(raw, np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, end = edges[::2].copy(), edges[1::2].copy()
+    bounds = np.cumsum([1, *(len(x) + 1 for x in parts)])
+    eights, at, shift = np.frombuffer(raw, "<u8"), start >> 3, ((start & 7) << 3).astype(np.uint64)
+    first, second, third = eights[at], eights[at + 1], eights[at + 2]
+    up = np.uint64(63) - shift
+    low, high = (first >> shift) | (second << np.uint64(1) << up), (second >> shift) | (third << np.uint64(1) << up)
+    bits = np.minimum(end - start, HEAD) << 3
+    keep = np.array([(1 << k) - 1 for k in range(64)] + [(1 << 64) - 1] * 65, np.uint64)
+    return raw, np.diff(np.searchsorted(start, bounds)), start, end, low & keep[bits], high & keep[np.maximum(bits - 64, 0)]
+
+
+class Lookup:
+    """A vocabulary that finds the words of many texts at once: each word's place in a table comes from its first HEAD
+    bytes; words of one place stand one after the other and are compared in turn. Words with more bytes are looked up by
+    all of them where one of the vocabulary begins alike."""
+
+    def __init__(self, vocab: dict[str, int]):
+        words = [w.encode("utf-8", "surrogatepass") for w in vocab]
+        self.longer = {w: k for w, k in zip(words, vocab.values(), strict=True) if len(w) > HEAD}
+        _, _, start, end, low, high = _cut(words)
+        long = end - start > HEAD
+        ids = np.where(long, -2, np.fromiter(vocab.values(), np.int64, len(vocab)))
+        self.shift = np.uint64(64 - max(12, (8 * len(vocab)).bit_length()))
+        slots = self._slots(low, high, long)
+        order = np.argsort(slots, kind="stable")
+        self.low, self.high, self.long, self.ids, slots = low[order], high[order], long[order], ids[order], slots[order]
+        self.more = np.concatenate((slots[1:] == slots[:-1], [False]))  # whether the next one has the same place
+        self.heads = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.heads[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+
+    def _slots(self, low, high, long):
+        return (((low + long) * P1 ^ high * P2) * P1 >> self.shift).astype(np.int64)
+
+    def __call__(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of all texts, one after the other (-1: not in the vocabulary); how many each text has."""
+        raw, sizes, start, end, low, high = _cut([_raw(t) for t in whole])
+        long = end - start > HEAD
+        out = np.full(len(start), -1, np.int64)
+        at = self.heads[self._slots(low, high, long)]
+        left = np.flatnonzero(at >= 0)
+        at = at[left]
+        while len(left):
+            same = (self.low[at] == low[left]) & (self.high[at] == high[left]) & (self.long[at] == long[left])
+            out[left[same]] = self.ids[at[same]]
+            on = ~same & self.more[at]
+            left, at = left[on], at[on] + 1
+        for k in np.flatnonzero(out == -2).tolist():
+            out[k] = self.longer.get(raw[start[k] : end[k]], -1)
+        return out, sizes
+
+
+def _stream(whole: list[str], lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words (-1: in no item); where each text starts. WINDOW of -1 or more stand before and after each text,
+    and texts start at multiples of STRIDE, so a text's windows hold its words alone and are the same whatever texts
+    stand beside it."""
+    found, sizes = lookup(whole)
+    room = sizes + WINDOW + -sizes % STRIDE
+    starts = WINDOW + np.cumsum(room) - room
+    ids = np.full(WINDOW + int(room.sum()), -1, np.int64)
+    ids[np.arange(len(found)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)] = found
+    return ids, starts
 
 
 def _blocks(ids: np.ndarray) -> np.ndarray:
@@ -117,15 +186,15 @@ def document_counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray,
     known = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def count(frames):
-        vocab, have, total, length = known.value, Counter(), 0, 0
-        keys = vocab.keys()
-        for pdf in frames:
-            for text in pdf["text"].fillna(""):
-                words = words_of(text)
-                have.update(keys & set(words))
-                length += len(words)
-            total += len(pdf)
-        yield pd.DataFrame({"word": [*(vocab[w] for w in have), len(vocab), len(vocab) + 1], "n": [*have.values(), total, length]})
+        lookup, height = Lookup(known.value), len(known.value)
+        have = np.zeros(height + 2, np.int64)
+        for part in (part for pdf in frames for part in chunks(pdf, 2_000_000)):
+            ids, sizes = lookup(part["text"].fillna("").tolist())
+            both = np.sort((np.repeat(np.arange(len(sizes)) * height, sizes) + ids)[ids >= 0])  # text and word
+            have[:height] += np.bincount(both[np.flatnonzero(np.diff(both, prepend=-1))] % height, minlength=height)
+            have[height:] += len(part), len(ids)
+        at = np.flatnonzero(have)
+        yield pd.DataFrame({"word": at, "n": have[at]})
 
     sums = docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(vocab) + 2, np.int64)
@@ -141,12 +210,13 @@ def passage_sums(docs: DataFrame, vocab: dict[str, int], idf: np.ndarray, onto:
 
     def add(frames):
         vocab, rows = given.value
+        lookup = Lookup(vocab)
         total = np.zeros((height, width))
         for part in (part for pdf in frames for part in chunks(pdf, 2_000_000)):
-            _, ids, _ = _stream(part["text"].fillna("").tolist(), vocab)
+            ids, _ = _stream(part["text"].fillna("").tolist(), lookup)
             around = _passages(_blocks(ids), rows, 2)  # begins with the windows around the fourth block; words stand after that
             at = np.flatnonzero(ids >= 0)
-            at = at[np.argsort(ids[at], kind="stable")]  # each word's places are together
+            at = at[np.argsort(ids[at].astype(np.uint16) if height <= 1 << 16 else ids[at], kind="stable")]  # each word's places are together; 16 bits sort faster
             low = np.flatnonzero(np.diff(ids[at], prepend=-1))
             block = at // STRIDE - WINDOW // STRIDE + 1
             for w, a, b in zip(ids[at[low]].tolist(), low.tolist(), [*low[1:].tolist(), len(at)], strict=False):
@@ -228,11 +298,13 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
         for k in range(0, len(passages), step):
             unit = _unit(passages[k : k + step])
             for m in range(0, len(latent), at_once):
-                p, i = np.nonzero(unit @ latent[m : m + at_once].T >= COSINE)
+                some = latent[m : m + at_once]
+                p, i = np.divmod(np.flatnonzero(unit @ some.T >= COSINE), len(some))
                 yield p + k, i + m
 
     def make():
         vocab, rows, latent, items, useful, item_ids, anchors = model.value
+        lookup = Lookup(vocab)
         words_in = np.zeros((len(latent) if rows is not None else 0, len(vocab) + 1), bool)
         least = np.zeros(len(words_in))
         for k, own in enumerate(item_ids[: len(words_in)]):
@@ -249,7 +321,8 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
         places_of = [masks(words) for _, words in items]
 
         def search(whole):
-            texts, ids, starts = _stream(whole, vocab)
+            ids, starts = _stream(whole, lookup)
+            texts: dict[int, list[str]] = {}  # the words of those that are compared word by word
             hits: list[tuple] = []
             if rows is not None:
                 blocks = _blocks(ids)
@@ -257,8 +330,8 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
                 known = sum(known[j : len(known) - WINDOW // STRIDE + 1 + j] for j in range(WINDOW // STRIDE))
                 which = np.flatnonzero(known >= LEAST)
                 hits = [held(blocks, which[p], i) for p, i in near(_passages(blocks, rows)[which])]
-            found: list[list[int]] = [[] for _ in texts]
-            best = [0.0] * len(texts)
+            found: list[list[int]] = [[] for _ in whole]
+            best = [0.0] * len(whole)
             for start, i in _verbatim(ids, item_ids, anchors):
                 d = int(np.searchsorted(starts, start, side="right")) - 1
                 found[d].append(items[i][0])
@@ -271,6 +344,8 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
                     places_near.setdefault(key[:2], []).append(key[2])
             for (d, i), places in places_near.items():
                 item_id, words = items[i]
+                if d not in texts:
+                    texts[d] = words_of(whole[d])
                 done = -WINDOW
                 for place in places:  # ascending
                     if place < done:

@@ -174,3 +174,19 @@ def test_words():
     every = [chr(k) for k in range(128)]
     for text in ("".join(every), *("".join(rng.choices(every, k=60)) for _ in range(300)), "Straße_1 漢字\u3000ok", ""):
         assert d.words_of(text) == re.findall(r"\w+", text.lower())
+
+
+def test_words_are_looked_up_at_once():
+    """The lookup gives each text's words the ids that a dict gives words_of, whatever signs, scripts and lengths."""
+    rng = random.Random(12)
+    signs = list("abAB01_ \t\n.,'\x00\x1c\x85\xa0éßİΣσςẞ漢字、。がमाी́ 　😀𝐀\ud800²½Ⅷª")
+    for run in range(60):
+        pool = ["".join(rng.choices(signs[: 6 if rng.random() < 0.5 else None], k=rng.randrange(40))) for _ in range(60)]
+        pool += ["x" * k + end for k in (7, 8, 9, 15, 16, 17, 24) for end in ("", "a", "b")]
+        known = sorted({w for t in pool for w in d.words_of(t)})
+        vocab = {w: k for k, w in enumerate(rng.sample(known, rng.randrange(1, len(known) + 1)))}
+        texts = [rng.choice((" ", ".", "Σ", "")).join(rng.choices(pool, k=rng.randrange(5))) for _ in range(30)]
+        ids, sizes = d.Lookup(vocab)(texts)
+        words = [d.words_of(t) for t in texts]
+        assert sizes.tolist() == [len(w) for w in words], run
+        assert ids.tolist() == [vocab.get(w, -1) for own in words for w in own], run
