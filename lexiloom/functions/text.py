@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,25 @@ def normalise(word: Column) -> Column:
     return F.lower(F.when(F.octet_length(word) == F.length(word), word).otherwise(byte_wise))
 
 
+# The same in Python, on bytes. The class of separators without \n holds what can precede a word within a token.
+_BYTE_TOKEN = re.compile(rb"(?=[^ \n])[\r,.!?\"\-_:;(){}]*+[\x80-\xff]*+([^\r\n,.!?\"\-_:;(){} ]*+)[^ \n]*+")
+_SWALLOWED = re.compile(rb"(?s)[\x80-\xff].{0,2}")
+_HIGH = bytes(range(128, 256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The normalised words of a text (UTF-8), from 1 to LONGEST_WORD bytes long: what raw_words and normalise make of it."""
+    if text.isascii():
+        return [w for w in _BYTE_TOKEN.findall(text.lower()) if 0 < len(w) <= LONGEST_WORD]
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        text = text.decode(errors="replace").encode()
+    raw = _BYTE_TOKEN.findall(text.lower())  # of bytes: A-Z only
+    words = [w if w.isascii() else _SWALLOWED.sub(b"'", w.rstrip(_HIGH)) for w in raw]
+    return [w for w in words if 0 < len(w) <= LONGEST_WORD]
+
+
 def bucket(word: Column) -> Column:
     """0 to 25 for words that start with a letter a-z, 26 for all others, which come last in vocabulary order."""
     return F.when((word >= "a") & (word < "{"), F.ascii(word) - 97).otherwise(26)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.store import kept
-from lexiloom.functions.text import LONGEST_WORD, bucket, normalise, raw_words
+from lexiloom.functions.text import LONGEST_WORD, bucket, normalise, raw_words, words_of
+
+MOST_ROWS = 100_000  # of a batch of counts, besides those of its last text
 
 
 def tokens(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,6 +35,36 @@ def doc_terms(words: DataFrame, ident: str = "doc_id") -> DataFrame:
     return words.groupBy(ident, "word").agg(F.count("*").alias("cnt"))
 
 
+def row_terms(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """ident, word, cnt for each word of each row's text, counted where the row is: the same words as of tokens."""
+
+    def counted(batches):
+        for batch in batches:
+            texts, rows, words, cnts = batch.column(1).cast(pa.binary()), [], [], []
+            for i, text in enumerate(texts):
+                if (found := text.as_py()) is not None:
+                    own = Counter(words_of(found))
+                    rows += [i] * len(own)
+                    words += own.keys()
+                    cnts += own.values()
+                if len(words) >= MOST_ROWS or i == len(texts) - 1:
+                    idents = batch.column(0).take(pa.array(rows, pa.int32()))
+                    yield pa.record_batch([idents, pa.array(words, pa.binary()).cast(pa.string()), pa.array(cnts, pa.int64())], names=[ident, "word", "cnt"])
+                    rows, words, cnts = [], [], []
+
+    kind = df.select(ident).schema[0].dataType.simpleString()
+    return df.select(ident, F.col(text).cast("string")).mapInArrow(counted, f"`{ident}` {kind}, word string, cnt long")
+
+
+def text_terms(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_terms of the tokens of df. A text is counted where it is read; counts are exchanged only if an ident is there
+    more than once, which is looked up at once."""
+    terms = row_terms(df, ident, text)
+    if df.groupBy(ident).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return terms
+    return terms.groupBy(ident, "word").agg(F.sum("cnt").alias("cnt"))
+
+
 def doc_totals(terms: DataFrame) -> DataFrame:
     """doc_id (null: all documents), unique_words, total_words. Documents are summed before the grand total is."""
     return terms.rollup("doc_id").agg(F.count("*").alias("unique_words"), F.sum("cnt").alias("total_words"))

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -82,3 +83,21 @@ def test_ingest_and_lists(spark):
         with pytest.raises(ValueError):
             corpus.ingest(docs, **bad)
     assert [r.doc_id for r in corpus.document_slice(docs, 1, 2).collect()] == [2, 3]
+
+
+def test_no_way_of_ingesting_has_one_task_read_all(spark):
+    docs = spark.createDataFrame([(i, f"w{i} a") for i in range(40)], "doc_id long, text string").repartition(4)
+    for mode in ("serial", "parallel"):
+        terms, _ = corpus.ingest(docs, mode)
+        assert len(terms.inputFiles()) == 4 and terms.count() == 80
+
+
+def test_terms_of_texts(spark):
+    """Counted where texts are, odd ones too: the same as of the tokens; ids that repeat are merged."""
+    rng = random.Random(1)
+    some = list("aBz9Z'~\t\r\n  ,.!?\"-_:;(){}éüñ’“語🙂İſK\u2003\x00\x85")
+    docs = [(i % 390, "".join(rng.choice(some) for _ in range(rng.randrange(120)))) for i in range(400)] + [(None, "a b"), (None, "a"), (7, None)]
+    for rows in (docs, docs[:390]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want, got = (sorted(map(repr, x.collect())) for x in (bow.doc_terms(bow.tokens(df)), bow.text_terms(df)))
+        assert got == want
