@@ -33,3 +33,14 @@ def test_matrix_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("2 3\n1 2 3\n4.5 5 6 7\n")
     rows = {(r.i, r.j): r.v for r in corpus.read_matrix(spark, str(tmp_path / "a.txt")).collect()}
     assert rows == {(0, 0): 1, (0, 1): 2, (0, 2): 3, (1, 0): 4.5, (1, 1): 5, (1, 2): 6}
+
+
+def test_rows_product_in_blocks(spark, monkeypatch):
+    """Absent, repeated, null and infinite cells, over several blocks of rows and columns: as of the join, without its rows."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), int(j), float(v)) for i, j, v in zip(rng.integers(0, 40, 300), rng.integers(0, 30, 300), rng.integers(-9, 9, 300), strict=True)]
+    x = spark.createDataFrame(rows + [(90, 1, None), (91, 77, 2.0), (92, 2, float("inf")), (93, 2, float("nan"))], "i int, j int, v double")
+    monkeypatch.setattr(linalg, "BLOCK_ROWS", 10)
+    got = linalg.gram_rows(x)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, linalg.multiply(x, linalg.transpose(x)).collect()))
