@@ -101,3 +101,17 @@ def test_terms_of_texts(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         want, got = (sorted(map(repr, x.collect())) for x in (bow.doc_terms(bow.tokens(df)), bow.text_terms(df)))
         assert got == want
+
+
+def test_index_matrix_by_hand(spark):
+    """Wide rows are made of runs of -1, not slot by slot."""
+    blocks = spark.createDataFrame([(d, d // 10) for d in range(20)], "doc_id long, proc int")
+    cells = [(d, w, (d * 3 + w) % 7, 1 + d % 2) for d in range(20) for w in range(6) if (d * w) % 4 == 1 or (w == 5 and d in (0, 9, 10))]
+    got = bow.index_matrix(spark.createDataFrame(cells, "doc_id long, word_idx int, slot int, cnt long"), blocks)
+    want = {}
+    for d, w, slot, cnt in cells:
+        row = want.setdefault((d // 10, w), [0, ["-1"] * 10])
+        row[0] += cnt
+        row[1][d % 10] = str(slot)
+    assert {(r.prank, r.word_idx): [r.occ, r.slots.split(",")] for r in got.collect()} == want
+    assert "sequence" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "repeat(-1," in plan
