@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -78,3 +80,15 @@ def test_settings_are_checked(spark):
     for bad in ({"mode": "none"}, {"k": 0}, {"iterations": -1}, {"rounds": 0}):
         with pytest.raises(ValueError):
             lda.fit(matrix, 1, **bad)
+
+
+def test_md5_of_many_at_once():
+    docs, words = [0, 7, -12, None, 2**62, 123456], [b"a", b"it's", b"x" * 27, b"w", b"y" * 27, b"zz"]
+    cnts = np.array([1, 12, 3, 2, 101, 1001])
+    for tag in (b"", b"|1"):
+        want = [
+            int.from_bytes(hashlib.md5((b"" if d is None else b"%d|" % d) + w + b"|%d" % i + tag).digest()[:4], "big")
+            for d, w, c in zip(docs, words, cnts, strict=True) for i in range(1, c + 1)
+        ]
+        assert lda.md5_numbers(docs, words, cnts, tag).tolist() == want
+    assert len(lda.md5_numbers([], [], np.array([], np.int64))) == 0
