@@ -10,7 +10,9 @@ from lexiloom.functions.text import bucket
 
 
 def term_frequencies(terms: DataFrame) -> DataFrame:
-    """Adds tf: the word's share of its document's words."""
+    """Adds tf: the word's share of its document's words. terms may have these as total already (see bow.text_terms)."""
+    if "total" in terms.columns:
+        return terms.withColumn("tf", F.col("cnt") / F.col("total"))
     return terms.withColumn("tf", F.col("cnt") / F.sum("cnt").over(W.partitionBy("doc_id")))
 
 

@@ -101,6 +101,10 @@ def test_terms_of_texts(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         want, got = (sorted(map(repr, x.collect())) for x in (bow.doc_terms(bow.tokens(df)), bow.text_terms(df)))
         assert got == want
+        whole, vocab = bow.text_terms(df, places=True), bow.vocabulary(bow.text_terms(df))
+        slots = {(r.doc_id, r.word): r.slot for r in bow.doc_matrix(bow.text_terms(df), vocab).join(vocab.select("word", "word_idx"), "word_idx").collect()}
+        totals = {r.doc_id: r.total_words for r in bow.doc_totals(bow.text_terms(df)).collect() if r.doc_id is not None} | {None: 3}
+        assert all(r.slot == slots[r.doc_id, r.word] and r.total == totals[r.doc_id] for r in whole.collect())
 
 
 def test_index_matrix_by_hand(spark):
@@ -115,3 +119,13 @@ def test_index_matrix_by_hand(spark):
         row[1][d % 10] = str(slot)
     assert {(r.prank, r.word_idx): [r.occ, r.slots.split(",")] for r in got.collect()} == want
     assert "sequence" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "repeat(-1," in plan
+
+
+def test_blocks_of_terms(spark):
+    """Blocks are told by their ends, without an exchange; by a join where an id is there twice."""
+    terms = spark.createDataFrame([(d, f"w{d % 3}", 1) for d in range(11)], "doc_id long, word string, cnt long")
+    for ids in (list(range(11)), [*range(11), 3]):
+        blocks = layout.doc_blocks(spark.createDataFrame([(i,) for i in ids], "doc_id long"), 4).cache()
+        got = layout.with_block(terms, blocks)
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (len(ids) > 11)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, terms.join(blocks, "doc_id").collect()))
