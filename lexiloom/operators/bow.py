@@ -36,9 +36,10 @@ def doc_terms(words: DataFrame, ident: str = "doc_id") -> DataFrame:
     return words.groupBy(ident, "word").agg(F.count("*").alias("cnt"))
 
 
-def row_terms(df: DataFrame, ident: str = "doc_id", text: str = "text", places: bool = False) -> DataFrame:
+def row_terms(df: DataFrame, ident: str = "doc_id", text: str = "text", places: bool = False, then=None, fields: str = "") -> DataFrame:
     """ident, word, cnt for each word of each row's text, counted where the row is: the same words as of tokens. places: and
-    slot, the word's place (from 0) in the vocabulary order of the text's words, and total, how many words the text has."""
+    slot, the word's place (from 0) in the vocabulary order of the text's words, and total, how many words the text has.
+    then: what is made of the batches, with these fields, before they leave Python."""
 
     def counted(batches):
         for batch in batches:
@@ -66,18 +67,19 @@ def row_terms(df: DataFrame, ident: str = "doc_id", text: str = "text", places:
 
     names = [ident, "word", "cnt"] + (["slot", "total"] if places else [])
     kind = df.select(ident).schema[0].dataType.simpleString()
-    fields = f"`{ident}` {kind}, word string, cnt long" + (", slot int, total long" if places else "")
-    return df.select(ident, F.col(text).cast("string")).mapInArrow(counted, fields)
+    own = f"`{ident}` {kind}, word string, cnt long" + (", slot int, total long" if places else "")
+    texts = df.select(ident, F.col(text).cast("string"))
+    return texts.mapInArrow(lambda batches: then(counted(batches)), fields) if then else texts.mapInArrow(counted, own)
 
 
-def text_terms(df: DataFrame, ident: str = "doc_id", text: str = "text", places: bool = False) -> DataFrame:
-    """doc_terms of the tokens of df; places: see row_terms. A text is counted where it is read; counts are exchanged only if
+def text_terms(df: DataFrame, ident: str = "doc_id", text: str = "text", places: bool = False, then=None, fields: str = "") -> DataFrame:
+    """doc_terms of the tokens of df; places, then, fields: see row_terms. A text is counted where it is read; counts are exchanged only if
     an ident is there more than once, which is looked up at once."""
     if df.groupBy(ident).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return row_terms(df, ident, text, places)
+        return row_terms(df, ident, text, places, then, fields)
     terms = row_terms(df, ident, text).groupBy(ident, "word").agg(F.sum("cnt").alias("cnt"))
     if not places:
-        return terms
+        return terms.mapInArrow(then, fields) if then else terms
     last = (bucket(F.col("word")) == 26).cast("int")
     slot = F.row_number().over(W.partitionBy(ident).orderBy(last, "word")) - 1
     return terms.withColumn("slot", slot).withColumn("total", F.sum("cnt").over(W.partitionBy(ident)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.store import kept
 from lexiloom.functions.text import hash_int
+from lexiloom.operators import bow
 
 ALPHA = GAMMA = 1.0
 MOST_DRAWN = 500_000  # occurrences that are held at once, besides those of the last batch
@@ -131,6 +132,19 @@ def md5_numbers(docs: list, words: list[bytes], cnts: np.ndarray, tag: bytes = b
 def hashed_counts(terms: DataFrame, k: int, *by: str) -> DataFrame:
     """long_counts of initial_topics by doc_id and word, without the topics themselves: by doc_id, by word or of all.
     terms: doc_id (a number), word, cnt."""
+    counted, fields = _hashing(terms.schema, k, *by)
+    parts = terms.select("doc_id", "word", F.col("cnt").cast("long").alias("cnt")).mapInArrow(counted, fields)
+    return parts.groupBy(*by, "k").agg(F.sum("n").alias("n"))
+
+
+def hashed_counts_of_texts(docs: DataFrame, k: int, *by: str) -> DataFrame:
+    """The same from texts (doc_id, text), whose terms don't leave Python unless an id repeats."""
+    counted, fields = _hashing(docs.schema, k, *by)
+    return bow.text_terms(docs, then=counted, fields=fields).groupBy(*by, "k").agg(F.sum("n").alias("n"))
+
+
+def _hashing(schema, k: int, *by: str):
+    """What hashed_counts does with batches of terms, and its fields; sums by key and k are still to be made."""
 
     def counted(batches):
         keys, zs, n = [], [], 0
@@ -154,9 +168,8 @@ def hashed_counts(terms: DataFrame, k: int, *by: str) -> DataFrame:
         kind = {"k": pa.array(found % k, pa.int32()), "n": pa.array(many, pa.int64())}
         return pa.RecordBatch.from_pydict(({by[0]: code.dictionary.take(pa.array(found // k, pa.int64()))} if by else {}) | kind)
 
-    fields = [f"{c} {terms.schema[c].dataType.simpleString()}" for c in by] + ["k int", "n long"]
-    parts = terms.select("doc_id", "word", F.col("cnt").cast("long").alias("cnt")).mapInArrow(counted, ", ".join(fields))
-    return parts.groupBy(*by, "k").agg(F.sum("n").alias("n"))
+    fields = [f"{c} {'string' if c == 'word' else schema[c].dataType.simpleString()}" for c in by] + ["k int", "n long"]
+    return counted, ", ".join(fields)
 
 
 def dense_counts(counts: DataFrame, by: str, k: int) -> DataFrame:

@@ -23,7 +23,8 @@ def inverse_frequencies(terms: DataFrame, n_docs: int) -> DataFrame:
 
 def tfidf(terms: DataFrame, n_docs: int) -> DataFrame:
     """doc_id, word, cnt, tf, df, idf, tfidf."""
-    joined = term_frequencies(terms).join(inverse_frequencies(terms, n_docs), "word")
+    # A task's share of the words is hashed; its share of the terms, which is far larger, needn't be sorted for the join.
+    joined = term_frequencies(terms).join(inverse_frequencies(terms, n_docs).hint("shuffle_hash"), "word")
     return joined.select("doc_id", "word", "cnt", "tf", "df", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 

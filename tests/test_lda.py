@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from lexiloom.operators import bow, lda
+from lexiloom.operators import bow, lda, tfidf
 from lexiloom.sources import corpus
 
 
@@ -92,3 +92,34 @@ def test_md5_of_many_at_once():
         ]
         assert lda.md5_numbers(docs, words, cnts, tag).tolist() == want
     assert len(lda.md5_numbers([], [], np.array([], np.int64))) == 0
+
+
+def test_counts_of_hashed_topics(spark):
+    """As of the topics themselves, with null ids and ids that repeat, and from texts as from terms."""
+    for ids in ((0, 1, 2, None), (0, 1, 1, None, None)):
+        docs = spark.createDataFrame([(i, "a b a é b 9 a don't") for i in ids], "doc_id long, text string")
+        terms = bow.text_terms(docs)
+        state = lda.initial_topics(terms, 3, "doc_id", "word")
+        for by in ((), ("doc_id",), ("word",)):
+            want = sorted(map(repr, lda.long_counts(state, *by).collect()))
+            assert sorted(map(repr, lda.hashed_counts(terms, 3, *by).collect())) == want
+            found = lda.hashed_counts_of_texts(docs, 3, *by)
+            assert sorted(map(repr, found.collect())) == want
+
+
+def test_parts_rise_with_the_corpus(spark, monkeypatch):
+    """A part's size, and so an executor's memory, is bounded; the counts are whole."""
+    terms = spark.createDataFrame([(d, f"w{d * i % 7}", 1 + i) for d in range(60) for i in range(5)], "doc_id long, word string, cnt long")
+    terms = terms.groupBy("doc_id", "word").sum("cnt").withColumnRenamed("sum(cnt)", "cnt")
+    monkeypatch.setattr(lda, "PART_TOKENS", 30)
+    for mode in ("block", "bundles"):
+        state = lda.fit_parts(terms, 7, 3, 1, mode=mode)
+        assert state.where("bucket < 0").count() > 20  # 4 with a part for each partition of a shuffle
+        got = {r.word: r.n for r in lda.part_counts(state, 3, "word").groupBy("word").sum("n").toDF("word", "n").collect()}
+        assert got == {r.word: r.n for r in terms.groupBy("word").sum("cnt").toDF("word", "n").collect()}
+
+
+def test_scores_join_without_sorting_the_terms(spark):
+    scored = tfidf.tfidf(bow.text_terms(spark.createDataFrame([(1, "a b a"), (2, "a c")], "doc_id long, text string"), places=True), 2)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Window" not in plan
